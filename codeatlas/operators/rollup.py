@@ -398,7 +398,7 @@ def flow_slice(steps: DataFrame, entities: DataFrame, externals: DataFrame, by:
     """(by, flow_id, id, role, pos) of every flow; an inner actor of a part's flow stands for the part.
     entities: (id) of all parts and outside systems."""
     own = steps.groupBy(*by, "flow_id").agg(F.min("owner").alias("id")).withColumn("pos", F.lit(-1).cast("bigint"))
-    ends = steps.selectExpr(*by, "flow_id", "owner", "explode(array(struct(pos * 2 AS pos, `from` AS id), struct(pos * 2 + 1, `to`))) AS e")
+    ends = steps.selectExpr(*by, "flow_id", "owner", "explode(array(struct(pos * 2 AS pos, `from` AS id), struct(pos * 2 + 1 AS pos, `to` AS id))) AS e")
     ends = ends.selectExpr(*by, "flow_id", "owner", "cast(e.pos AS BIGINT) AS pos", "e.id AS id")
     known = entities.select(*by, "id").distinct().withColumn("known", F.lit(True))
     named = ends.join(known, [*by, "id"], "left").selectExpr(*by, "flow_id", "CASE WHEN known THEN id ELSE owner END AS id", "pos")

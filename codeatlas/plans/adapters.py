@@ -159,9 +159,10 @@ class Tables:
         return self.part.selectExpr(
             "p_partkey AS fn_id",
             "CASE WHEN p_size % 10 = 0 THEN 'Class' WHEN p_size % 10 = 1 THEN 'Test' ELSE 'Function' END AS kind",
-            "concat(split_part(p_name, ' ', 2), p_partkey div 3) AS name",
-            "CASE WHEN p_size % 3 = 0 THEN replace(p_brand, '#', '') END AS parent",
-            "concat(lower(p_type), '/k', p_partkey % 7, '/m', p_partkey div 40, '.py') AS path",
+            "CASE WHEN p_size % 10 = 0 THEN concat(replace(p_brand, '#', ''), '_', p_partkey div 60) "
+            "ELSE concat(split_part(p_name, ' ', 2), p_partkey div 3) END AS name",
+            "CASE WHEN p_size % 3 = 0 THEN concat(replace(p_brand, '#', ''), '_', p_partkey div 60) END AS parent",
+            "concat('app/k', p_partkey div 20 % 7, '/m', p_partkey div 40, '.py') AS path",
             "(p_partkey % 40) * 10 + 1 AS start", "(p_partkey % 40) * 10 + 9 AS end",
             "p_size % 10 = 1 AS is_test")
 
@@ -172,6 +173,21 @@ class Tables:
 
 
 
+    @cached_property
+    def bodies(self) -> DataFrame:
+        """Each function's body names the next three functions: as a method, through a folder, and bare."""
+        f = self.functions.select("fn_id", "name", "parent")
+        b, c, d = (f.selectExpr(f"fn_id - {i} AS fn_id", f"name AS n{i}", f"parent AS p{i}") for i in (1, 2, 3))
+        return (f.select("fn_id").join(b, "fn_id").join(c, "fn_id").join(d, "fn_id")
+                .selectExpr("fn_id", "concat('return ', lower(coalesce(p1, 'mod')), '.', n1, '(\"x.', n3, '\") + k', (fn_id + 2) div 20 % 7, "
+                            "'.', n2, '(', n3, ') # ', n2) AS body"))
+
+    @cached_property
+    def order_steps(self) -> DataFrame:
+        """One step per line number of an order (line numbers repeat, so they are reduced first)."""
+        return self.lineitem.groupBy(F.col("l_orderkey").alias("fn_id"), F.col("l_linenumber").cast("bigint").alias("n")).agg(
+            F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+
     # ---- paths of a made-up repository -----------------------------------------------------------------
     @cached_property
     def repo_paths(self) -> DataFrame:
@@ -273,11 +289,19 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE WHEN event_id % 4 = 0 THEN 'removed' ELSE 'added' END AS op FROM events"""),
     "functions": ("", """SELECT p_partkey AS fn_id,
         CASE WHEN p_size % 10 = 0 THEN 'Class' WHEN p_size % 10 = 1 THEN 'Test' ELSE 'Function' END AS kind,
-        split_part(p_name, ' ', 2) || p_partkey // 3 AS name,
-        CASE WHEN p_size % 3 = 0 THEN replace(p_brand, '#', '') END AS parent,
-        lower(p_type) || '/k' || p_partkey % 7 || '/m' || p_partkey // 40 || '.py' AS path,
+        CASE WHEN p_size % 10 = 0 THEN replace(p_brand, '#', '') || '_' || p_partkey // 60
+          ELSE split_part(p_name, ' ', 2) || p_partkey // 3 END AS name,
+        CASE WHEN p_size % 3 = 0 THEN replace(p_brand, '#', '') || '_' || p_partkey // 60 END AS parent,
+        'app/k' || p_partkey // 20 % 7 || '/m' || p_partkey // 40 || '.py' AS path,
         (p_partkey % 40) * 10 + 1 AS "start", (p_partkey % 40) * 10 + 9 AS "end", p_size % 10 = 1 AS is_test
         FROM part"""),
+    "mentions": ("functions", """SELECT f.fn_id, m.q AS qualifier, m.n AS name FROM (SELECT a.fn_id, unnest([{'q': NULL, 'n': 'return'},
+        {'q': NULL, 'n': lower(coalesce(b.parent, 'mod'))}, {'q': lower(coalesce(b.parent, 'mod')), 'n': b.name},
+        {'q': NULL, 'n': 'k' || (a.fn_id + 2) // 20 % 7}, {'q': 'k' || (a.fn_id + 2) // 20 % 7, 'n': c.name}, {'q': NULL, 'n': d.name}]) AS m
+        FROM functions a JOIN functions b ON b.fn_id = a.fn_id + 1 JOIN functions c ON c.fn_id = a.fn_id + 2
+        JOIN functions d ON d.fn_id = a.fn_id + 3) f"""),
+    "order_steps": ("", """SELECT l_orderkey AS fn_id, CAST(l_linenumber AS BIGINT) AS n, min(l_suppkey) AS s, min(l_partkey) AS p
+        FROM lineitem GROUP BY ALL"""),
     "calls": ("", "SELECT DISTINCT l_partkey AS src, l_partkey // 2 + l_suppkey % 5 AS dst FROM lineitem"),
     "repo_paths": ("", f"""SELECT p_partkey AS k, replace([{", ".join(f"'{t}'" for t in PATH_FORMS)}][p_partkey % {len(PATH_FORMS)} + 1],
         '@', CAST(p_partkey AS VARCHAR)) AS path, CAST(p_retailprice * 1000 AS BIGINT) AS size, p_size AS code_lines FROM part"""),

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import map_queries, scalar_queries, source_queries  # noqa: F401  (registering)
+from . import map_queries, scalar_queries, source_queries, structure_queries  # noqa: F401  (registering)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

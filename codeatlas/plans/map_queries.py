@@ -123,10 +123,10 @@ def grep_definitions(t):
     return search.grep(lines, "ring1", limit=None)
 
 
-@query("c2_list_tree", "site_paths", """
-    SELECT path FROM site_paths WHERE path LIKE 'ththre.example.com/%' ORDER BY path LIMIT 5000""")
+@query("c2_list_tree", "head", """
+    SELECT path FROM head WHERE path LIKE 'moved/%' ORDER BY path LIMIT 5000""")
 def list_tree(t):
-    return search.list_tree(t.site_paths, "ththre.example.com")
+    return search.list_tree(t.head, "moved")
 
 
 FUZZY = """list_reduce(list_prepend({{'c': '', 'i': 0, 'score': 0.0, 'last': -2, 'j': 0, 'prev': ''}},
@@ -239,7 +239,7 @@ def changes_per_part(t):
 
 
 @query("e8_part_sizes", "parts part_uses functions", """
-    SELECT lower(p_type) || '/k' || p_partkey % 7 AS part, sum(p_size) AS size FROM part GROUP BY 1""")
+    SELECT 'app/k' || p_partkey // 20 % 7 AS part, sum(p_size) AS size FROM part GROUP BY 1""")
 def part_sizes(t):
     files = t.functions.selectExpr("fn_id", "path").join(t.part.selectExpr("p_partkey AS fn_id", "p_size"), "fn_id").groupBy("path").agg(
         F.sum("p_size").alias("code_lines"))
@@ -278,7 +278,7 @@ def all_links(t):
 
 
 @query("e2_folder_clusters", "site_paths", f"""
-    SELECT id, id AS name, '' AS summary, {sql_list(fx.PALETTE)}[(row_number() OVER (ORDER BY id) - 1) % 8 + 1] AS color, members FROM (
+    SELECT id, translate(id, '-_', '  ') AS name, '' AS summary, {sql_list(fx.PALETTE)}[(row_number() OVER (ORDER BY id) - 1) % 8 + 1] AS color, members FROM (
       SELECT split_part(path, '/', 1) AS id, count(*) AS members FROM site_paths GROUP BY 1)""")
 def folder_clusters(t):
     parts = t.site_paths.selectExpr("cast(page_id AS STRING) AS id", "path")
@@ -405,13 +405,14 @@ def domain_entries(t):
 
 
 @query("e22_flow_driver", "", """
-    WITH c AS (SELECT user_id, event_type, count(*) AS made, min(event_id) AS first, sum(count(*)) OVER (PARTITION BY user_id) AS n FROM events
+    WITH e AS (SELECT user_id, event_id, CASE WHEN user_id % 2 = 0 AND event_type <> 'view' THEN 'ctl' ELSE event_type END AS event_type FROM events),
+    c AS (SELECT user_id, event_type, count(*) AS made, min(event_id) AS first, sum(count(*)) OVER (PARTITION BY user_id) AS n FROM e
       GROUP BY 1, 2)
     SELECT 'u' || user_id AS flow_id, event_type AS driver FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY made DESC, first) AS r FROM c WHERE event_type <> 'view')
     WHERE r = 1 AND made >= 2 AND made * 2 >= n""")
 def flow_driver(t):
-    s = t.events.selectExpr("concat('u', user_id) AS flow_id", "CASE WHEN event_type = 'view' THEN 'Caller' ELSE event_type END AS `from`", "event_id AS pos")
+    s = t.events.selectExpr("concat('u', user_id) AS flow_id", "CASE WHEN event_type = 'view' THEN 'Caller' WHEN user_id % 2 = 0 THEN 'ctl' ELSE event_type END AS `from`", "event_id AS pos")
     return rollup.flow_driver(s)
 
 
@@ -548,12 +549,13 @@ def valid_colors(t):
 
 
 @query("k2_valid_flows", "parts part_externals part_steps part_exposes", """
-    WITH u AS (SELECT id FROM parts UNION SELECT id FROM part_externals),
+    WITH u AS (SELECT id FROM parts UNION SELECT id FROM part_externals UNION SELECT id || '.run' FROM parts),
     s AS (SELECT * FROM part_steps WHERE "from" IN (SELECT id FROM u) AND "to" IN (SELECT id FROM u))
     SELECT flow_id, pos, CASE WHEN ref IN (SELECT ref FROM part_exposes) THEN ref END AS ref FROM s
     WHERE flow_id IN (SELECT flow_id FROM s GROUP BY 1 HAVING count(*) >= 2)""")
 def valid_flows(t):
-    actors = t.part_records.select("id").unionByName(externals(t).select("id"))
+    actors = t.part_records.select("id").unionByName(externals(t).select("id")).unionByName(
+        t.part_records.selectExpr("concat(id, '.run') AS id"))
     return validate.valid_flows(steps(t), actors, records.exposes_of(t.part_records)).select("flow_id", "pos", "ref")
 
 
