@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import cut, is_empty
+from ..session import cut, is_empty, together
 from .ordered import first_per
 
 
@@ -22,13 +22,6 @@ def nodes_of(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.select(*by, F.col("src").alias("node")).union(edges.select(*by, F.col("dst").alias("node"))).distinct()
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def reach(edges: DataFrame, seeds: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by, src, node): nodes reachable from each seed (column node; default every node), itself included.
 
@@ -41,10 +34,10 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, by: Sequence[str] =
     step = e.select(*by, F.col("src").alias("node"), F.col("dst").alias("_next"))
     while True:
         new = (frontier.join(step, [*by, "node"]).select(*by, "src", F.col("_next").alias("node")).distinct()
-               .join(_union(known), [*by, "src", "node"], "left_anti"))
+               .join(together(known), [*by, "src", "node"], "left_anti"))
         frontier = cut(new, "reach")
         if is_empty(frontier):
-            return _union(known)
+            return together(known)
         known.append(frontier)
 
 
@@ -74,14 +67,14 @@ def routes(edges: DataFrame, entries: DataFrame, reach_of: DataFrame, by: Sequen
     last = cut(entries.select(*key, F.lit(0).alias("pos"), "node"), "trunk")
     trunk = [last]
     while True:
-        seen = _union(trunk).select(*key, F.col("node").alias("dst"))
+        seen = together(trunk).select(*key, F.col("node").alias("dst"))
         nxt = (last.withColumnRenamed("node", "src").join(e, [*by, "src"]).join(seen, [*key, "dst"], "left_anti")
                .groupBy(*key, "pos").agg(F.expr("min_by(dst, struct(-reach, dst))").alias("node")))
         last = cut(nxt.select(*key, (F.col("pos") + 1).alias("pos"), "node"), "trunk")
         if is_empty(last):
             break
         trunk.append(last)
-    drawn = _union(trunk)
+    drawn = together(trunk)
     # spur candidates in drawing order; a candidate may be decided when no earlier undecided one shares a node with it
     cand = drawn.withColumnRenamed("node", "src").join(e, [*by, "src"]).groupBy(*key, F.col("dst").alias("node")).agg(
         F.min(F.struct("pos", -F.col("reach"), "dst")).alias("order"))
@@ -89,7 +82,7 @@ def routes(edges: DataFrame, entries: DataFrame, reach_of: DataFrame, by: Sequen
     seen, spurs = [drawn.select(*key, "node")], []
     callee = e.select(*by, F.col("src").alias("node"), F.col("dst").alias("callee"), "reach")
     while not is_empty(todo):
-        taken = _union(seen)
+        taken = together(seen)
         free = (todo.join(callee, [*by, "node"]).where("callee <> node")
                 .join(taken.withColumnRenamed("node", "callee"), [*key, "callee"], "left_anti"))
         touch = todo.select(*key, "node", "order", F.col("node").alias("touched")).unionByName(
@@ -102,8 +95,8 @@ def routes(edges: DataFrame, entries: DataFrame, reach_of: DataFrame, by: Sequen
         spurs.append(done)
         seen.append(done.select(*key, "node"))
         seen.append(done.where("second IS NOT NULL").select(*key, F.col("second").alias("node")))
-        todo = cut(todo.join(_union(seen[-2:]), [*key, "node"], "left_anti"), "spurs")
-    out = _union(spurs) if spurs else todo.withColumn("second", F.col("node"))
+        todo = cut(todo.join(together(seen[-2:]), [*key, "node"], "left_anti"), "spurs")
+    out = together(spurs) if spurs else todo.withColumn("second", F.col("node"))
     return drawn, out.select(*key, F.col("order.pos").alias("pos"), "node", "second")
 
 
@@ -241,7 +234,7 @@ def walk_by_levels(functions: DataFrame, calls: DataFrame, roots: DataFrame, by:
         group = cut(below.join(kids, [*by, "top", "fn_id"], "left").select(*by, "top", "offset", "fn_id", "label"), "level")
         depth += 1
         if is_empty(group):
-            return _union(out)
+            return together(out)
 
 
 def dag_levels(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -269,9 +262,9 @@ def dag_levels(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         left = cut(left.join(free, [*by, "node"], "left_anti"), "left")
         level += 1
     if not checked:
-        return _union(found)
+        return together(found)
     # after dropping edges, peeled rounds no longer equal path lengths for nodes freed late: take longest paths again
-    return longest_paths(e, _union(found).select(*by, "node"), by)
+    return longest_paths(e, together(found).select(*by, "node"), by)
 
 
 def longest_paths(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -465,4 +458,4 @@ def code_slices(code: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         deep = "sub_n * 2 > n AND sub_n >= 15"
         out.append(subs.where(f"NOT ({deep})").select(*by, F.col("sub").alias("slice")))
         level = subs.where(deep).select(*by, F.col("sub").alias("folder"), F.col("sub_n").alias("n"), F.col("sub_here").alias("here"))
-    return _union(out) if out else counts.selectExpr(*by, "folder AS slice")
+    return together(out) if out else counts.selectExpr(*by, "folder AS slice")

@@ -65,8 +65,8 @@ def pick_calls(refs: DataFrame, spans: DataFrame, keys: Sequence[str], block: in
     otherwise the smallest one spanning it. spans: (keys, call_id, start, end, first_byte, last_byte)."""
     p = refs.select(*keys, "line").distinct().withColumn("_block", F.expr(f"line div {block}"))
     spread = spans.withColumn("_block", F.explode(F.expr(f"sequence(start div {block}, `end` div {block})")))
-    order = ("CASE WHEN start = line THEN struct(0, first_byte, -last_byte, call_id) "
-             "ELSE struct(1, last_byte - first_byte, 0L, call_id) END")
+    order = ("struct(start <> line AS a, CASE WHEN start = line THEN first_byte ELSE last_byte - first_byte END AS b, "
+             "CASE WHEN start = line THEN -last_byte ELSE 0 END AS c, call_id AS d)")
     return (p.join(spread, [*keys, "_block"]).where("line BETWEEN start AND `end`")
             .groupBy(*keys, "line").agg(F.expr(f"min_by(call_id, {order})").alias("call_id")))
 

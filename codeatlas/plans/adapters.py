@@ -188,6 +188,25 @@ class Tables:
         return self.lineitem.groupBy(F.col("l_orderkey").alias("fn_id"), F.col("l_linenumber").cast("bigint").alias("n")).agg(
             F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
 
+    @cached_property
+    def code_lines(self) -> DataFrame:
+        """Source files made from part rows, one per row in one of four languages; @ stands for the row's number, % for it modulo 97."""
+        bodies = "array(" + ", ".join("array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\t", "\\t") + "'" for x in c) + ")" for c in CODE_FORMS) + ")"
+        return self.part.selectExpr(
+            "p_partkey AS k", f"replace(get({_names(CODE_PATHS)}, cast(p_partkey % 4 AS INT)), '@', p_partkey) AS path",
+            f"posexplode(get({bodies}, cast(p_partkey % 4 AS INT))) AS (pos, line)").selectExpr(
+            "k", "path", "pos + 1 AS line_no", "replace(replace(line, '@', k), '%', k % 97) AS text").withColumn(
+            "path", F.expr("replace(path, '#', k % 20)"))
+
+    @cached_property
+    def code_functions(self) -> DataFrame:
+        from ..operators.scan import scan_functions
+        return scan_functions(self.code_lines).withColumn("fn_id", F.concat_ws(":", "path", "start"))
+
+    @cached_property
+    def code_parts(self) -> DataFrame:
+        return self.code_lines.selectExpr("split_part(path, '/', 1) AS id", "split_part(path, '/', 1) AS path").distinct()
+
     # ---- paths of a made-up repository -----------------------------------------------------------------
     @cached_property
     def repo_paths(self) -> DataFrame:
@@ -235,6 +254,86 @@ PATH_FORMS = (
     "svc@/internal/store.go")
 
 
+# fixed values: the made-up source files, one list of lines per language
+CODE_PATHS = ("svc#/app@.py", "svc#/main@.go", "web#/ui@.js", "lib#/J@.java")
+CODE_FORMS = (
+    ("# Reads settings for worker @. Called at start.",
+     "def load_@(cfg):",
+     '    """Load things for @. Returns cfg. Third one."""',
+     '    mode = os.getenv("MODE_%", "fast")',
+     '    if mode == "slow":',
+     "        return helper_@(cfg)",
+     "    for item in cfg.items():",
+     '        if item.status == "queued":',
+     '            item.status = "running"',
+     "        db.save(item)",
+     '    token = os.environ["TOKEN_%"]',
+     "    return token",
+     "",
+     "class Store_@:",
+     "    def put(self, x):",
+     "        self.limit = int(os.environ.get(KEY_NAME))",
+     '        if flags.is_enabled("flag_%"):',
+     "            client.send(x)",
+     "        if self.limit > 9:",
+     '            x.status = "done"',
+     "",
+     'KEY_NAME = "LIMIT_%"'),
+    ("package main",
+     "// Run@ starts job @.",
+     "func Run@(ctx context.Context) error {",
+     '\taddr := os.Getenv("ADDR_%")',
+     '\tif addr == "" {',
+     '\t\taddr = "localhost"',
+     "\t}",
+     "\tif job.State == JobStateReady {",
+     "\t\tjob.State = JobStateBusy",
+     "\t}",
+     '\ton, _ := client.BooleanValue(ctx, "go-flag-%", true, evalCtx)',
+     "\tif on {",
+     "\t\treturn start@(addr)",
+     "\t}",
+     "\tif err != nil {",
+     '\t\treturn fmt.Errorf("x", err)',
+     "\t}",
+     "\tswitch job.State {",
+     "\tcase JobStateBusy:",
+     "\t\tjob.State = JobStateDone",
+     "\t}",
+     "\treturn nil",
+     "}"),
+    ('const { API_% = "dev", HOST: host } = process.env',
+     "function show@(x) {",
+     '  const debug = process.env.DEBUG_% || "off"',
+     "  if (!x) {",
+     "    return null",
+     "  }",
+     "  const big = debug ? 1 : 2",
+     "  if (host) {",
+     "    fetch(x)",
+     "  } else {",
+     "    other.draw(x)",
+     "  }",
+     '  return checkFeatureFlag("js_flag_%")',
+     "}"),
+    ("public class J@ {",
+     "  public void go(Order order) {",
+     '    String v = System.getenv("JAVA_%");',
+     "    if (v != null) {",
+     '      order.state = "OPEN";',
+     "    }",
+     '    order.state = "SHUT";',
+     '    ld.boolVariation("java-flag-%", user, false);',
+     '    throw new Error("bad");',
+     "  }",
+     "}"),
+)
+
+
+def _names(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 # the same adapters as SQL
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 VIEWS: dict[str, tuple[str, str]] = {
@@ -302,6 +401,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         JOIN functions d ON d.fn_id = a.fn_id + 3) f"""),
     "order_steps": ("", """SELECT l_orderkey AS fn_id, CAST(l_linenumber AS BIGINT) AS n, min(l_suppkey) AS s, min(l_partkey) AS p
         FROM lineitem GROUP BY ALL"""),
+    "code_files": ("", f"""SELECT p_partkey AS k, p_partkey % 97 AS m, replace(replace([{", ".join(f"'{v}'" for v in CODE_PATHS)}][p_partkey % 4 + 1],
+        '@', CAST(p_partkey AS VARCHAR)), '#', CAST(p_partkey % 20 AS VARCHAR)) AS path FROM part"""),
     "calls": ("", "SELECT DISTINCT l_partkey AS src, l_partkey // 2 + l_suppkey % 5 AS dst FROM lineitem"),
     "repo_paths": ("", f"""SELECT p_partkey AS k, replace([{", ".join(f"'{t}'" for t in PATH_FORMS)}][p_partkey % {len(PATH_FORMS)} + 1],
         '@', CAST(p_partkey AS VARCHAR)) AS path, CAST(p_retailprice * 1000 AS BIGINT) AS size, p_size AS code_lines FROM part"""),

@@ -368,7 +368,7 @@ def lanes(t):
 
 
 @query("h8_reading_depth", "edges_down", """
-    WITH RECURSIVE d AS (SELECT node AS fn_id, 0 AS depth, NULL AS via FROM (SELECT src AS node FROM edges_down EXCEPT SELECT dst FROM edges_down)
+    WITH RECURSIVE d AS (SELECT node AS fn_id, 0 AS depth, CAST(NULL AS BIGINT) AS via FROM (SELECT src AS node FROM edges_down EXCEPT SELECT dst FROM edges_down)
       UNION ALL SELECT e.dst, depth + 1, e.src FROM d JOIN edges_down e ON e.src = d.fn_id)
     SELECT fn_id, depth, via FROM d""")
 def reading_depth(t):
@@ -395,19 +395,20 @@ def state_levels(t):
 @query("h10_nest_flows", "", """
     WITH o AS (SELECT o_orderkey AS k FROM orders)
     SELECT k AS part, 1 AS flow, 0 AS under_flow, 1 AS under_step FROM o WHERE k % 4 <> 3
-    UNION ALL SELECT k, 2, CASE WHEN k % 4 = 3 THEN 0 ELSE 1 END, 0 FROM o WHERE k % 4 IN (0, 3)
-    UNION ALL SELECT k, 2, 0, 0 FROM o WHERE k % 4 IN (1, 2)""")
+    UNION ALL SELECT k, 0, 2, 0 FROM o WHERE k % 4 = 2
+    UNION ALL SELECT k, 2, 1, 0 FROM o WHERE k % 4 = 0
+    UNION ALL SELECT k, 2, 0, 0 FROM o WHERE k % 4 IN (1, 3)""")
 def nest_flows(t):
-    """Three flows to a part: the second details a step of the first, the third one of the second or the first; the first
-    starts where the third lands, which would close a circle."""
+    """Three flows to a part: the second details a step of the first (unless it is a failure flow), the third one of the second or
+    the first; in every fourth part the first starts where the third lands, and the third may then not hang below it."""
     o = t.orders.selectExpr("o_orderkey AS part")
-    flows = o.selectExpr("part", "stack(3, 0, 'Main', 'GET /', 'c0', 1, CASE WHEN part % 4 = 3 THEN 'It fails' ELSE 'Second' END, 'on save()', 'x', "
-                         "2, 'Third', CASE WHEN part % 4 = 0 THEN 'after check' ELSE 'later' END, CASE WHEN part % 4 IN (1, 2, 3) THEN 'load' ELSE 'y' END) "
+    flows = o.selectExpr("part", "stack(3, 0, 'Main', 'GET /', CASE WHEN part % 4 = 2 THEN 'c0' ELSE 'zz' END, "
+                         "1, CASE WHEN part % 4 = 3 THEN 'It fails' ELSE 'Second' END, 'on save()', 'x', "
+                         "2, 'Third', CASE WHEN part % 4 = 0 THEN 'after check' ELSE 'later' END, CASE WHEN part % 4 = 0 THEN 'y' ELSE 'load' END) "
                          "AS (flow, title, trigger, first_actor)")
     names = o.selectExpr("part", "stack(4, 0, 0, 'load', 0, 1, 'save', 1, 0, CASE WHEN part % 4 = 0 THEN 'check' ELSE 'nothing' END, 2, 0, 'c0') AS (flow, pos, name)")
     drivers = o.selectExpr("part", "0 AS flow", "'boss' AS driver")
-    out = graph.nest_flows(flows, names, names, drivers, fx.GENERIC_ACTOR, fx.FAILURE_WORDS)
-    return out.where("flow <> 0")
+    return graph.nest_flows(flows, names, names, drivers, fx.GENERIC_ACTOR, fx.FAILURE_WORDS)
 
 
 COMMITS = """SELECT p_partkey AS sha, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0 AND p_size % 5 = 0"""

@@ -39,7 +39,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     executors are lost. Written as a table, so later joins see its size and can broadcast it when small."""
     path = f"{checkpoint_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_paths = [path]
+    return out
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    """The union of frames; written ones of the same columns are read as one table, so plans stay small however
+    many rounds a loop takes."""
+    first = frames[0]
+    if all(getattr(f, "cut_paths", None) and f.schema == first.schema for f in frames):
+        paths = [p for f in frames for p in f.cut_paths]
+        out = first.sparkSession.read.schema(first.schema).parquet(*paths)
+        out.cut_paths = paths
+        return out
+    out = first
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def is_empty(df: DataFrame) -> bool:
