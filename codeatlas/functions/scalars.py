@@ -37,11 +37,23 @@ class Scalar:
         REGISTRY[name] = self
 
     def __call__(self, *fragments) -> str:
+        """The expression for these arguments. An argument the body uses several times is computed once, unless it
+        is a plain column or literal."""
         if len(fragments) != len(self.args):
             raise TypeError(f"{self.name} takes {len(self.args)} arguments")
-        given = {a: f"({f})" for (a, _), f in zip(self.args, fragments)}
+        given, bound = {}, []
+        for (arg, _), fragment in zip(self.args, fragments):
+            plain = re.fullmatch(r"[\w.`]+|'[^']*'", fragment)
+            if plain or len(re.findall(rf"@{arg}\b", self.body)) < 2:
+                given[arg] = fragment if plain else f"({fragment})"
+            else:
+                given[arg] = f"{self.name}_{arg}"
+                bound.append((fragment, given[arg]))
         names = "|".join(sorted(given, key=len, reverse=True))
-        return "(" + re.sub(rf"@({names})\b", lambda m: given[m[1]], self.body) + ")"
+        out = "(" + re.sub(rf"@({names})\b", lambda m: given[m[1]], self.body) + ")"
+        for fragment, name in bound:
+            out = bind(fragment, name, out)
+        return out
 
     def create_statement(self) -> str:
         names = "|".join(sorted((a for a, _ in self.args), key=len, reverse=True))
@@ -75,10 +87,9 @@ machine_made = Scalar(
     "machine_made", "content STRING", "BOOLEAN",
     "coalesce(cast(substring(cast(@content AS BINARY), 1, 4096) AS STRING) rlike "
     f"{text(fx.MACHINE_MADE)}, false)")
-is_ignored = Scalar(
-    "is_ignored", "path STRING", "BOOLEAN",
-    "arrays_overlap(slice(split(@path, '/'), 1, size(split(@path, '/')) - 1), "
-    f"{texts(fx.IGNORED_FOLDERS)})")
+is_ignored = Scalar("is_ignored", "path STRING", "BOOLEAN",
+                    f"arrays_overlap(split({bind('@path', 'p', 'left(p, greatest(length(p) - length(element_at(split(p, chr(47)), -1)) - 1, 0))')}, '/'), "
+                    f"{texts(fx.IGNORED_FOLDERS)})")
 suffix = Scalar("suffix", "path STRING", "STRING", r"lower(regexp_extract(@path, '[^/](\\.[^./]+)$', 1))")
 base_name = Scalar("base_name", "path STRING", "STRING", "element_at(split(@path, '/'), -1)")
 folder_of = Scalar(
@@ -89,8 +100,7 @@ file_stem = Scalar("file_stem", "path STRING", "STRING",
 # every folder holding the path, and the path itself; '' stands for the root
 ancestors = Scalar(
     "ancestors", "path STRING", "ARRAY<STRING>",
-    "concat(array(''), transform(sequence(1, size(split(@path, '/'))), "
-    "k -> array_join(slice(split(@path, '/'), 1, k), '/')))")
+    bind("split(@path, '/')", "ps", "concat(array(''), transform(ps, (p, k) -> array_join(slice(ps, 1, k + 1), '/')))"))
 lang = Scalar("lang", "path STRING", "STRING", f"element_at({table(fx.LANGUAGES)}, {suffix('@path')})")
 lang_family = Scalar(
     "lang_family", "path STRING", "STRING",
@@ -132,13 +142,14 @@ strip_strings_comments = Scalar(
     f"regexp_replace(@s, {text(fx.STRINGS_AND_COMMENTS)}, ' ')")
 mask_literals = Scalar(
     "mask_literals", "s STRING", "STRING", squash(f"regexp_replace(@s, {text(fx.LITERAL_TEXT)}, '#')"))
-unparen = Scalar(
-    "unparen", "s STRING", "STRING",
-    r"CASE WHEN trim(@s) rlike '(?s)^\\(.*\\)$' AND NOT aggregate("
-    "split(left(trim(@s), length(trim(@s)) - 1), ''), named_struct('depth', 0, 'early', false), "
+_unparen = Scalar(
+    "unparen_trimmed", "s STRING", "STRING",
+    r"CASE WHEN @s rlike '(?s)^\\(.*\\)$' AND NOT aggregate("
+    "split(left(@s, length(@s) - 1), ''), named_struct('depth', 0, 'early', false), "
     "(a, c) -> named_struct('depth', a.depth + CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END, "
     "'early', a.early OR (c <> '' AND a.depth + CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END = 0)), "
-    "a -> a.early) THEN trim(substring(trim(@s), 2, length(trim(@s)) - 2)) ELSE trim(@s) END")
+    "a -> a.early) THEN trim(substring(@s, 2, length(@s) - 2)) ELSE @s END")
+unparen = Scalar("unparen", "s STRING", "STRING", _unparen("trim(@s)"))
 _CMP = text(fx.COMPARISON)
 _CMP_OP = (f"coalesce(nullif(regexp_extract(@c, {_CMP}, 1), ''), regexp_extract(@c, {_CMP}, 2))")
 negate = Scalar(
@@ -189,8 +200,8 @@ _own_name_dropped = Scalar(
     "substring(@s, length(substring_index(@s, ' ', 1)) + 3)) ELSE @s END")
 doc_sentences = Scalar(
     "doc_sentences", "doc STRING, name STRING", "STRING",
-    "get(transform(array(" + _own_name_dropped(first_sentences("@doc"), "@name") + "), s -> "
-    "nullif(CASE WHEN length(s) <= 240 THEN s ELSE concat(left(s, 239), '…') END, '')), 0)")
+    bind(_own_name_dropped(first_sentences("@doc"), "@name"), "ds",
+         "nullif(CASE WHEN length(ds) <= 240 THEN ds ELSE concat(left(ds, 239), '…') END, '')"))
 has_error = Scalar(
     "has_error", "s STRING, language STRING", "BOOLEAN",
     "CASE WHEN @language = 'go' THEN "
@@ -267,6 +278,23 @@ link_kind = Scalar(
     "ELSE 'call' END")
 is_user_facing = Scalar("is_user_facing", "kind STRING", "BOOLEAN", _matches("coalesce(@kind, '')", fx.USER_FACING))
 
+_LAST = r"element_at(split(@value, '\\.|::|->'), -1)"
+# a constant's own name; null when the text is a variable or no constant
+state_value = Scalar(
+    "state_value", "value STRING, field STRING", "STRING",
+    f"CASE WHEN @value rlike {text(r"""^["':]""")} THEN "
+    f"nullif(trim(regexp_replace(@value, {text(r"""^["':]|["']$""")}, '')), '') ELSE " + bind(
+        _LAST, "lv", "CASE WHEN lv IN ('True', 'False', 'None', 'TRUE', 'FALSE', 'NULL') THEN NULL "
+        "WHEN lv rlike '^[A-Z][A-Z0-9_]+$' OR (lv rlike '^[A-Z]' AND "
+        f"@value rlike {text(fx.STATE_WORD)} AND lv <> @field AND NOT right(lv, 6) rlike {text(fx.STATE_WORD)}) THEN "
+        "coalesce(nullif(regexp_extract(lv, '^[A-Z]\\\\w*[a-z]\\\\w*?_([A-Z][A-Z0-9_]+)$', 1), ''), lv) END") + " END")
+# the constant set a value comes from
+state_family = Scalar(
+    "state_family", "value STRING", "STRING",
+    f"CASE WHEN @value rlike {text(r"""^["']""")} THEN 'string' WHEN startswith(@value, ':') THEN 'symbol' ELSE " + bind(
+        _LAST, "lf", "concat(left(@value, length(@value) - length(lf)), "
+        "regexp_extract(lf, '(?i)^.*?(state|status|phase|stage)', 0))") + " END")
+
 # ---- search --------------------------------------------------------------------------------------
 fuzzy_score = Scalar(
     "fuzzy_score", "q STRING, s STRING", "DOUBLE",

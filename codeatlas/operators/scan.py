@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
+from ..session import cut, once
 from .joins import enclosing, entries_through, owner_of
 from .ordered import first_per
 from .rollup import assemble_gates, gate_rows
@@ -130,7 +131,7 @@ def decisions(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = lines.selectExpr(*by, "path", "line_no", f"{_at('text', head, 1)} AS keyword", f"{_at('text', head, 2)} AS c", f"{_at('text', ternary, 1)} AS q").where(
         "(keyword <> '' AND NOT (keyword = 'case' AND c rlike ':')) OR q <> ''")
     rows = rows.where("keyword <> 'case'")
-    cond = f"{S.squash(S.unparen('CASE WHEN ' + 'keyword' + ' <> ' + chr(39) * 2 + ' THEN c ELSE q END'))}"
+    cond = S.squash(S.unparen("CASE WHEN keyword <> '' THEN c ELSE q END"))
     return rows.withColumn("cond", F.expr(cond)).selectExpr(
         *by, "path", "line_no", "keyword", "cond", "left(CASE WHEN keyword <> '' THEN concat(keyword, ' ', cond) ELSE concat(cond, ' ?') END, 120) AS text")
 
@@ -138,7 +139,7 @@ def decisions(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def scan_checks(bindings: DataFrame, lines: DataFrame, functions: DataFrame, parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, gate, path, line_no, text): decisions that mention a gate: the read itself, its variable after the assignment in the
     same function, or its field anywhere in the same part. functions: (fn_id, path, start, end); parts: (id, path)."""
-    b = bindings.withColumn("gate", F.concat_ws(":", "kind", "name"))
+    b = once(bindings, "bindings").withColumn("gate", F.concat_ws(":", "kind", "name"))
     d = decisions(lines, by)
     direct = b.select(*by, "gate", "path", "line_no").join(d, [*by, "path", "line_no"]).select(*by, "gate", "path", "line_no", "text")
     wanted = b.where("bound IS NOT NULL").selectExpr(*by, "bound AS word").distinct()
@@ -162,7 +163,7 @@ def scan_checks(bindings: DataFrame, lines: DataFrame, functions: DataFrame, par
 def gates(lines: DataFrame, functions: DataFrame, parts: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(gates, rows): every gate with its default, and its reads and checks (ref, part, text, fn_id)."""
     reads = scan_env_reads(lines, by).unionByName(scan_flag_reads(lines, by))
-    bound = bind_reads(reads, lines, by)
+    bound = cut(bind_reads(reads, lines, by), "bindings")
     checks = scan_checks(bound, lines, functions, parts, by)
     own = owner_of(lines.select(*by, "path"), parts.select(*by, F.col("id").alias("owner"), F.col("path").alias("folder")), by).withColumnRenamed("owner", "part")
     r = bound.join(own, [*by, "path"]).selectExpr(*by, "concat(kind, ':', name) AS gate", "concat(path, ':', line_no) AS ref", "part", "default")
@@ -225,11 +226,11 @@ def scan_docs(functions: DataFrame, lines: DataFrame, by: Sequence[str] = ()) ->
             .selectExpr(*by, "path", "start", f"{S.doc_sentences('coalesce(inside, above)', 'name')} AS doc").where("doc IS NOT NULL"))
 
 
-# fixed values: lines opening a block, by kind; group 1 is the condition
-_OPENERS = [("if", r"^\s*(?:if)\b\s*(.*?)\s*[:{]?\s*$"), ("elif", r"^\s*(?:\}\s*)?(?:elif|elsif|else\s+if)\b\s*(.*?)\s*[:{]?\s*$"),
-            ("else", r"^\s*(?:\}\s*)?else\b()\s*[:{]?\s*$"), ("loop", r"^\s*(?:for|while)\b\s*(.*?)\s*[:{]?\s*$"),
-            ("switch", r"^\s*(?:switch|match|select)\b\s*(.*?)\s*[:{]?\s*$"), ("case", r"^\s*(?:case\b\s*|default\b)(.*?)\s*[:{]?\s*$"),
-            ("try", r"^\s*try\b()\s*[:{]?\s*$"), ("catch", r"^\s*(?:\}\s*)?(?:except|catch|rescue)\b\s*(.*?)\s*[:{]?\s*$")]
+# fixed values: the word opening a block (group 1), its condition (group 2), and the kind of block
+_OPENER = (r"^\s*(?:\}\s*)?(if|elif|elsif|else\s+if|else|for|while|switch|match|select|case|default|try|except|catch|rescue)\b"
+           r"\s*(.*?)\s*[:{]?\s*$")
+_BLOCK_KINDS = {"if": "if", "elif": "elif", "elsif": "elif", "else": "else", "for": "loop", "while": "loop", "switch": "switch", "match": "switch",
+                "select": "switch", "case": "case", "default": "case", "try": "try", "except": "catch", "catch": "catch", "rescue": "catch"}
 
 
 def blocks(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -237,9 +238,9 @@ def blocks(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     belongs to."""
     # a case label may stand as far left as its switch: it closes earlier cases but not the switch
     rows = with_indent(lines).withColumn("indent", F.expr(r"indent * 2 + CASE WHEN text rlike '^\\s*(case\\b|default\\b)' THEN 1 ELSE 0 END"))
-    kind = "CASE " + " ".join(f"WHEN text rlike {S.text(p)} THEN '{k}'" for k, p in _OPENERS) + " END"
-    cond = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {_at('text', p, 1)}" for k, p in _OPENERS) + " END"
-    heads = rows.withColumn("kind", F.expr(kind)).where("kind IS NOT NULL").withColumn("cond", F.expr(S.squash(S.unparen(cond))))
+    opened = rows.where(f"text rlike {S.text(_OPENER)}").selectExpr(
+        *by, "path", "line_no", "indent", rf"regexp_replace({_at('text', _OPENER, 1)}, 'else\\s+if', 'elif') AS word", f"{_at('text', _OPENER, 2)} AS c")
+    heads = opened.selectExpr(*by, "path", "line_no", "indent", f"element_at({S.table(_BLOCK_KINDS)}, word) AS kind", f"{S.squash(S.unparen('c'))} AS cond")
     last = lines.groupBy(*by, "path").agg((F.max("line_no") + 1).alias("_stop"))
     ends = until_dedent(rows, heads, by).join(last, [*by, "path"]).selectExpr(*by, "path", "line_no", "line_no + 1 AS start", "coalesce(next_line, _stop) - 1 AS end")
     if_line = F.last(F.expr("CASE WHEN kind = 'if' THEN line_no END"), ignorenulls=True).over(Window.partitionBy(*by, "path", "indent").orderBy("line_no"))
@@ -312,7 +313,7 @@ def call_guards(sites: DataFrame, lines: DataFrame, functions: DataFrame, by: Se
     """sites (fn_id, path, line_no, name, ...) with ``when`` (the two innermost conditions around each call, outer first, at most 60
     characters) and ``loop`` (the innermost loop). Conditions come from enclosing branches, earlier arms of the same if,
     cases, error handlers, and guard clauses before the call; one shared by all calls of a function is dropped."""
-    b = blocks(lines, by)
+    b = cut(blocks(lines, by), "blocks")   # used several times below
     spans = b.where("kind IN ('if', 'elif')").selectExpr(*by, "path", "start", "end", "cond AS guard", "line_no * 1000L AS rank")
     spans = spans.unionByName(b.where("kind = 'catch'").selectExpr(*by, "path", "start", "end", "'on error' AS guard", "line_no * 1000L AS rank"))
     arms = b.where("kind IN ('if', 'elif')").selectExpr(*by, "path", "coalesce(chain, line_no) AS chain", "line_no AS arm", "cond")
@@ -355,23 +356,6 @@ _SET = rf"^\s*((?:[A-Za-z_]\w*(?:\[[^\]]*\])?(?:\.|->|::))+)(\w*(?i:state|status
 _KEYED = rf"(?<![\w.])(\w*(?i:state|status|phase|stage)):\s*{_STATE_VALUE}\s*[,}}]"
 
 
-def state_value(value: str, field: str) -> str:
-    """SQL: the constant's name, or null when the text is no constant."""
-    last = rf"element_at(split({value}, '\\.|::|->'), -1)"
-    upper = f"{last} rlike '^[A-Z][A-Z0-9_]+$'"
-    member = (f"({last} rlike '^[A-Z]' AND {value} rlike {S.text(fx.STATE_WORD)} AND {last} <> {field} AND NOT right({last}, 6) rlike {S.text(fx.STATE_WORD)})")
-    return (f"CASE WHEN {value} rlike {S.text(r'''^[\"':]''')} THEN nullif(trim(regexp_replace({value}, {S.text(r'''^[\"':]|[\"']$''')}, '')), '') "
-            f"WHEN {last} IN ('True', 'False', 'None', 'TRUE', 'FALSE', 'NULL') THEN NULL WHEN {upper} OR {member} THEN "
-            f"coalesce(nullif(regexp_extract({last}, '^[A-Z]\\\\w*[a-z]\\\\w*?_([A-Z][A-Z0-9_]+)$', 1), ''), {last}) END")
-
-
-def state_family(value: str) -> str:
-    """SQL: the constant set a value comes from."""
-    last = rf"element_at(split({value}, '\\.|::|->'), -1)"
-    return (f"CASE WHEN {value} rlike {S.text(r'''^[\"']''')} THEN 'string' WHEN startswith({value}, ':') THEN 'symbol' ELSE "
-            f"concat(left({value}, length({value}) - length({last})), regexp_extract({last}, '(?i)^.*?(state|status|phase|stage)', 0)) END")
-
-
 def scan_state_assignments(lines: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, path, line_no, fn_id, field, receiver, family, value, from_literal): constants assigned to fields named state, status, phase or
     stage. Test files, lookups, tables outside functions and non-constant values are left out."""
@@ -385,14 +369,14 @@ def scan_state_assignments(lines: DataFrame, functions: DataFrame, by: Sequence[
     rows = a.unionByName(k.where("prev IS NULL OR v <> prev"))
     inside = enclosing(rows.withColumnRenamed("line_no", "line"), functions, [*by, "path"]).withColumnRenamed("line", "line_no")
     return rows.join(inside, [*by, "path", "line_no"]).selectExpr(
-        *by, "path", "line_no", "fn_id", "field", "receiver", f"{state_family('v')} AS family", f"{state_value('v', 'field')} AS value",
-        f"{state_value('prev', 'field')} AS from_literal").where("value IS NOT NULL AND length(value) <= 60")
+        *by, "path", "line_no", "fn_id", "field", "receiver", f"{S.state_family('v')} AS family", f"{S.state_value('v', 'field')} AS value",
+        f"{S.state_value('prev', 'field')} AS from_literal").where("value IS NOT NULL AND length(value) <= 60")
 
 
 def infer_from(assignments: DataFrame, lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """assignments with ``from``: the constant the nearest enclosing if or case compares the same field with, else the literal of
     the previous state next to it; null when unknown or equal to the new value."""
-    b = blocks(lines, by)
+    b = cut(blocks(lines, by), "blocks")   # used several times below
     test = rf"(?:\.|->|::|^|\s)(\w+)\s*(?:===?|\bis\b)\s*{_STATE_VALUE}"
     ifs = b.where(r"kind IN ('if', 'elif') AND NOT cond rlike '\\|\\||\\bor\\b'").where(f"size(regexp_extract_all(cond, {S.text(test)}, 0)) = 1").selectExpr(
         *by, "path", "line_no AS g_line", "start", "end", f"{_at('cond', test, 1)} AS field", f"{_at('cond', test, 2)} AS v")
@@ -400,7 +384,7 @@ def infer_from(assignments: DataFrame, lines: DataFrame, by: Sequence[str] = ())
     cases = b.where("kind = 'case'").selectExpr(*by, "path", "line_no", "line_no AS g_line", "start AS c_start", "end AS c_end", "cond AS v")
     labels = _holding(cases, switch, by).selectExpr(*by, "path", "g_line", "c_start AS start", "c_end AS end", "field", "v")
     guards = ifs.unionByName(labels.where(f"v rlike {S.text('^' + _STATE_VALUE + '$')}")).selectExpr(
-        *by, "path", "start", "end", "field", f"{state_value('v', 'field')} AS value", "g_line").where("value IS NOT NULL")
+        *by, "path", "start", "end", "field", f"{S.state_value('v', 'field')} AS value", "g_line").where("value IS NOT NULL")
     near = enclosing(assignments.withColumnRenamed("line_no", "line"), guards.withColumnRenamed("value", "guard"), [*by, "path", "field"], take=("guard",), order=("g_line",))
     return assignments.join(near.withColumnRenamed("line", "line_no"), [*by, "path", "field", "line_no"], "left").withColumn(
         "from", F.expr("nullif(coalesce(guard, from_literal), value)")).drop("guard", "from_literal")
@@ -411,7 +395,8 @@ def state_machines(rows: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame,
     with at least two transitions and three states. machines: (field, family, subject, id, states, transitions)."""
     key = [*by, "field", "family"]
     distinct = rows.select(*key, "path", "line_no", "fn_id", "receiver", "from", F.col("value").alias("to")).distinct()
-    first = first_per(distinct.withColumn("_f", F.coalesce("from", F.lit("\0"))), [*key, "path", "fn_id", "_f", "to"], ["line_no", "receiver"]).drop("_f")
+    first = cut(first_per(distinct.withColumn("_f", F.coalesce("from", F.lit("\0"))), [*key, "path", "fn_id", "_f", "to"],
+                          ["line_no", "receiver"]).drop("_f"), "transitions")
     # every state with the place it first shows at
     states = first.select(*key, F.explode(F.expr("filter(array(struct(`from` AS s, 0 AS o), struct(`to` AS s, 1 AS o)), x -> x.s IS NOT NULL)")).alias("x"), "path", "line_no")
     seen = states.groupBy(*key, "x.s").agg(F.min(F.struct("path", "line_no", "x.o")).alias("at"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ordered import carry_forward
+from ..session import cut
 from ..sources.files import explode_lines
 
 
@@ -192,16 +193,17 @@ class Tables:
     def code_lines(self) -> DataFrame:
         """Source files made from part rows, one per row in one of four languages; @ stands for the row's number, % for it modulo 97."""
         bodies = "array(" + ", ".join("array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\t", "\\t") + "'" for x in c) + ")" for c in CODE_FORMS) + ")"
-        return self.part.selectExpr(
+        made = self.part.selectExpr(
             "p_partkey AS k", f"replace(get({_names(CODE_PATHS)}, cast(p_partkey % 4 AS INT)), '@', p_partkey) AS path",
             f"posexplode(get({bodies}, cast(p_partkey % 4 AS INT))) AS (pos, line)").selectExpr(
             "k", "path", "pos + 1 AS line_no", "replace(replace(line, '@', k), '%', k % 97) AS text").withColumn(
             "path", F.expr("replace(path, '#', k % 20)"))
+        return cut(made, "code")   # a table, as source lines would be
 
     @cached_property
     def code_functions(self) -> DataFrame:
         from ..operators.scan import scan_functions
-        return scan_functions(self.code_lines).withColumn("fn_id", F.concat_ws(":", "path", "start"))
+        return cut(scan_functions(self.code_lines).withColumn("fn_id", F.concat_ws(":", "path", "start")), "functions")
 
     @cached_property
     def code_parts(self) -> DataFrame:

@@ -44,6 +44,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def once(df: DataFrame, label: str = "once") -> DataFrame:
+    """``df`` itself when it is a written table already, else cut: for inputs an operator reads several times."""
+    return df if getattr(df, "cut_paths", None) else cut(df, label)
+
+
 def together(frames: list[DataFrame]) -> DataFrame:
     """The union of frames; written ones of the same columns are read as one table, so plans stay small however
     many rounds a loop takes."""
