@@ -172,9 +172,12 @@ def refresh_cost(plan: DataFrame, tokens: DataFrame, by: Sequence[str] = ()) ->
     """(by, parts_total, parts_changed, min_tokens, max_tokens, min_seconds, max_seconds) of an update plan
     (by, slice, action) and the tokens (by, tokens) of the slices to map; needs_model in ``plan`` marks an overview
     that is not cached."""
+    if not by:
+        one = F.lit(1).alias("_all")
+        return refresh_cost(plan.select("*", one), tokens.select("*", one), ["_all"]).drop("_all")
     p = plan.groupBy(*by).agg(F.count("*").alias("parts_total"), F.count_if(F.expr("action = 'map'"))
                               .alias("parts_changed"), F.max("needs_overview").alias("needs_overview"))
-    joined = p.join(tokens, [*by], "left") if by else p.join(tokens, F.lit(True), "left")
+    joined = p.join(tokens, [*by], "left")
     return joined.selectExpr(
         *by, "parts_total", "parts_changed",
         "CASE WHEN parts_changed > 0 THEN coalesce(tokens, 0) * 3 div 10 ELSE 0 END AS min_tokens",

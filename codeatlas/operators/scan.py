@@ -302,7 +302,6 @@ def scan_call_sites(lines: DataFrame, functions: DataFrame, by: Sequence[str] =
         *by, "path", "line_no", r"""regexp_replace(regexp_replace(text, '"(?:\\\\.|[^"\\\\])*"', '""'), '^\\s*(?:func|def|function|fn)\\b.*$', '') AS text""")
     rows = bare.select(*by, "path", "line_no", F.posexplode(F.expr(f"regexp_extract_all(text, {S.text(call)}, 0)")).alias("pos", "m")).selectExpr(
         *by, "path", "line_no", "pos", f"{_at('m', call, 2)} AS name", f"{_at('m', call, 1)} AS chain")
-    recv = r"coalesce(element_at(regexp_extract_all(chain, '\\w+', 0), -1), '')"
     recv = r"coalesce(get(reverse(regexp_extract_all(chain, '\\w+', 0)), 0), '')"
     kept = rows.where(f"NOT array_contains({S.texts([*_NOT_CALLS, *fx.PROTOCOL_NAMES])}, name) AND NOT arrays_overlap({S.words('chain')}, {S.texts(fx.NOISE_WORDS)})")
     inside = enclosing(kept.withColumnRenamed("line_no", "line"), functions, [*by, "path"]).withColumnRenamed("line", "line_no")
