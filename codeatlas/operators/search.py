@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
-from .joins import enclosing, folder_key
+from ..sources.files import explode_lines
+from .joins import enclosing
 from .ordered import top_k
 
 
@@ -35,6 +36,11 @@ def grep(lines: DataFrame, name: str, folder: str = "", limit: int | None = 200)
     return out.selectExpr("concat(path, ':', line_no) AS ref", "text", "is_def")
 
 
+def grep_files(files: DataFrame, name: str, folder: str = "", limit: int | None = 200) -> DataFrame:
+    """``grep`` over files (path, content): files that do not contain the name are dropped before lines are split."""
+    return grep(explode_lines(files.where(f"contains(content, {S.text(name)}) AND {in_folder('path', folder)}")), name, folder, limit)
+
+
 def list_tree(files: DataFrame, folder: str = "", limit: int | None = 5000) -> DataFrame:
     """Paths in a folder, in order."""
     out = files.where(in_folder("path", folder)).select("path")

@@ -198,7 +198,8 @@ class Tables:
             f"posexplode(get({bodies}, cast(p_partkey % 4 AS INT))) AS (pos, line)").selectExpr(
             "k", "path", "pos + 1 AS line_no", "replace(replace(line, '@', k), '%', k % 97) AS text").withColumn(
             "path", F.expr("replace(path, '#', k % 20)"))
-        return cut(made, "code")   # a table, as source lines would be
+        # a table of many files, as source lines would be
+        return cut(made.repartition(self.spark.sparkContext.defaultParallelism, "path"), "code")
 
     @cached_property
     def code_functions(self) -> DataFrame:

@@ -111,7 +111,7 @@ def search_catalog(t):
     SELECT path || ':' || line_no AS ref, trim(text)[:200] AS text, false AS is_def FROM corpus_lines
     WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') ORDER BY path, line_no LIMIT 200""")
 def grep(t):
-    return search.grep(t.corpus_lines, "the")
+    return search.grep_files(t.corpus, "the")
 
 
 @query("c1_grep_definitions", "functions", """

@@ -378,7 +378,7 @@ def resource_edges(t):
     fns = users.selectExpr("concat('fn', user_id) AS fn_id", "CASE WHEN user_id % 5 = 0 THEN 'query' END AS kind")
     effects = t.events.selectExpr("concat('fn', user_id) AS fn_id", "CASE event_type WHEN 'purchase' THEN 'db' WHEN 'click' THEN 'queue' ELSE 'network' END AS kind", "concat('t', event_id % 5) AS target",
                                   "CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'writes' ELSE 'reads' END AS op")
-    calls = users.where("user_id % 2 = 0").selectExpr("concat('fn', user_id) AS src", "'fn0' AS dst")
+    calls = users.where("user_id % 2 = 0").selectExpr("concat('fn', user_id) AS src", "concat('fn', user_id div 10 * 10) AS dst")
     return joins.resource_edges(fns, effects, calls)
 
 
