@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import cut, is_empty, together
-from .ordered import first_per
+from .ordered import bucket_rank
 
 
 def nodes_of(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -142,8 +142,8 @@ def flow_roots(functions: DataFrame, calls: DataFrame, by: Sequence[str] = ()) -
     roots = entry_class(functions).join(called, [*by, "fn_id"], "left_anti")
     counts = reach_count(calls, by).withColumnRenamed("node", "fn_id")
     r = roots.join(counts, [*by, "fn_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(1)))
-    order = Window.partitionBy(*by or [F.lit(1)]).orderBy("entry", F.col("reach").desc(), "file", "start", "fn_id")
-    return r.withColumn("rank", F.row_number().over(order)).select(*by, "fn_id", "entry", "reach", "rank")
+    ranked = bucket_rank(r, by, ["entry", "-reach", "left(file, 24)"], ["entry", "-reach", "file", "start", "fn_id"])
+    return ranked.select(*by, "fn_id", "entry", "reach", "rank")
 
 
 _WALKED = "fn_id {t}, depth INT, via {t}, pos BIGINT"

@@ -134,31 +134,49 @@ def type_usage(mentions: DataFrame, functions: DataFrame, by: Sequence[str] = ()
 def connect(sites: DataFrame, reviewed: DataFrame, local_names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Call sites (fn_id, name, recv, line) joined to the reviewed function each can only mean.
 
-    reviewed: (fn_id, name, parent, file, kind). local_names: (file, name) defined in the head of each file.
-    Several candidates narrow to the caller's folder; if not one is left, none is taken. Candidates are counted,
-    not collected, so a name defined in very many files stays distributed.
+    reviewed: (fn_id, name, parent, file, kind). local_names: (file, name) defined in the head of each file. A query is
+    reachable from anywhere and the own file always; another file only in the same language, for a name that is neither
+    common nor defined in the caller's file: a method through an object, a plain function bare, in Go, or through its
+    module or package. Of several candidates the one in the caller's folder is taken, if it is one.
+
+    Only how many candidates there are, and one of them, matters. Candidates under a narrow key (own file, module name,
+    queries) are joined; the wide ones, every method or plain function of a name, are counted per name, folder and file
+    first and looked up, so a name defined in very many files never meets its call sites one by one.
     """
-    callers = reviewed.select(*by, "fn_id", F.col("file").alias("f_file"))
-    targets = reviewed.select(*by, F.col("fn_id").alias("to"), "name", F.col("parent").alias("g_parent"),
-                              F.col("file").alias("g_file"), F.col("kind").alias("g_kind"))
+    f = reviewed.selectExpr(*by, "fn_id", "file AS f_file", f"{S.folder_of('file')} AS f_folder", f"{S.lang_family('file')} AS family")
+    t = reviewed.selectExpr(
+        *by, "fn_id AS `to`", "name", "file AS g_file", f"{S.folder_of('file')} AS g_folder", f"{S.lang_family('file')} AS family",
+        "kind <=> 'query' AS is_query", "CASE WHEN parent IS NOT NULL THEN 'method' ELSE 'plain' END AS cls",
+        f"array_distinct(array({S.file_stem('file')}, {S.base_name(S.folder_of('file'))})) AS modules")
     own = local_names.select(*by, F.col("file").alias("f_file"), "name").distinct().withColumn("is_local", F.lit(True))
-    site = sites.select(*by, "fn_id", "name", "recv", "line").distinct()
-    cand = (site.join(callers, [*by, "fn_id"]).join(own, [*by, "f_file", "name"], "left")
-            .join(targets, [*by, "name"]).where("fn_id <> `to`"))
-    common = f"array_contains({S.texts(fx.COMMON_NAMES)}, name)"
-    reaches = (
-        "g_kind <=> 'query' OR g_file = f_file OR "
-        f"({S.lang_family('f_file')} <=> {S.lang_family('g_file')} AND is_local IS NULL AND NOT {common} AND "
-        "CASE WHEN g_parent IS NOT NULL THEN recv NOT IN ('', 'self', 'this', 'cls') "
-        f"ELSE recv = '' OR {S.lang_family('g_file')} <=> 'go' OR recv = {S.file_stem('g_file')} "
-        f"OR recv = {S.base_name(S.folder_of('g_file'))} END)")
-    near = f"{S.folder_of('f_file')} = {S.folder_of('g_file')}"
-    found = cand.where(reaches).withColumn("near", F.expr(near))
-    one = found.groupBy(*by, "fn_id", "name", "recv", "line").agg(
-        F.count("*").alias("n"), F.count_if("near").alias("n_near"), F.min("to").alias("any_to"),
-        F.min(F.when(F.col("near"), F.col("to"))).alias("near_to"))
-    return one.selectExpr(*by, "fn_id", "name", "recv", "line",
-                          "CASE WHEN n = 1 THEN any_to WHEN n_near = 1 THEN near_to END AS `to`").where("`to` IS NOT NULL")
+    key = [*by, "fn_id", "name", "recv", "line"]
+    site = sites.select(*key).distinct().join(f, [*by, "fn_id"]).join(own, [*by, "f_file", "name"], "left")
+    wide = site.where(f"is_local IS NULL AND family IS NOT NULL AND NOT array_contains({S.texts(fx.COMMON_NAMES)}, name)")
+    seen = lambda df: df.selectExpr(*key, "1L AS n", "`to`", "CASE WHEN g_folder = f_folder THEN 1L ELSE 0L END AS n_near",
+                                    "CASE WHEN g_folder = f_folder THEN `to` END AS near")
+    query = seen(site.join(t.where("is_query").drop("family"), [*by, "name"]).where("`to` <> fn_id"))
+    same = seen(site.join(t.where("NOT is_query").drop("family").withColumn("f_file", F.col("g_file")), [*by, "name", "f_file"]).where("`to` <> fn_id"))
+    module = t.where("NOT is_query AND cls = 'plain' AND family <> 'go'").withColumn("recv", F.explode("modules")).where("recv <> ''")
+    named = seen(wide.join(module, [*by, "name", "family", "recv"]).where("g_file <> f_file"))
+
+    # every method, or plain function, of a name outside the caller's file: totals less the own file's
+    others = t.where("NOT is_query").groupBy(*by, "name", "family", "cls", "g_folder", "g_file").agg(F.count("*").alias("n"), F.min("to").alias("to"))
+    ends = [F.sum("n").alias("n"), F.min("g_file").alias("lo"), F.min_by("to", "g_file").alias("lo_to"), F.max_by("to", "g_file").alias("hi_to")]
+    name = [*by, "name", "family", "cls"]
+    total = others.groupBy(*name).agg(*ends)
+    near = others.groupBy(*name, F.col("g_folder").alias("f_folder")).agg(*ends)
+    mine = others.select(*name, F.col("g_file").alias("f_file"), F.col("n").alias("own"))
+    classes = ("filter(array(CASE WHEN recv NOT IN ('', 'self', 'this', 'cls') THEN 'method' END, "
+               "CASE WHEN recv = '' OR family = 'go' THEN 'plain' END), c -> c IS NOT NULL)")
+    asked = wide.withColumn("cls", F.explode(F.expr(classes))).join(mine, [*name, "f_file"], "left")
+    # with one candidate left, at most two files hold the name: the caller's and the candidate's
+    left = lambda df: df.selectExpr(*key, "cls", "n - coalesce(own, 0) AS n", "CASE WHEN own IS NOT NULL AND lo = f_file THEN hi_to ELSE lo_to END AS `to`")
+    counted = left(asked.join(total, name)).join(
+        left(asked.join(near, [*name, "f_folder"])).withColumnRenamed("n", "n_near").withColumnRenamed("to", "near"), [*key, "cls"], "left")
+    counted = counted.selectExpr(*key, "n", "CASE WHEN n > 0 THEN `to` END AS `to`", "coalesce(n_near, 0) AS n_near", "CASE WHEN n_near > 0 THEN near END AS near")
+    one = query.unionByName(same).unionByName(named).unionByName(counted).groupBy(*key).agg(
+        F.sum("n").alias("n"), F.min("to").alias("any_to"), F.sum("n_near").alias("n_near"), F.min("near").alias("near_to"))
+    return one.selectExpr(*key, "CASE WHEN n = 1 THEN any_to WHEN n_near = 1 THEN near_to END AS `to`").where("`to` IS NOT NULL")
 
 
 def known_names(functions: DataFrame, parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

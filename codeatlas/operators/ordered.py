@@ -81,3 +81,16 @@ def asof(points: DataFrame, marks: DataFrame, keys: Sequence[str], on: str, valu
          .withColumn("_block", F.expr(f"{on} div {block}")))
     filled = carry_forward(u, keys, "_block", [on, "_side"], "_value", "_found")
     return filled.where("_side = 1").select(*keys, on, F.col("_found").alias(value))
+
+
+def bucket_rank(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
+    """Adds ``out``: the 1-based rank within each key. ``buckets`` are leading expressions of the order (coarser is fine, as long
+    as they never decrease along it): rows are ranked inside (key, buckets) and shifted by the sizes of earlier buckets."""
+    names = [f"_b{i}" for i in range(len(buckets))]
+    b = df.select("*", *[F.expr(e).alias(n) for e, n in zip(buckets, names)])
+    inside = Window.partitionBy(*keys, *names).orderBy(*[F.expr(o) for o in order])
+    before = Window.partitionBy(*keys or [F.lit(1)]).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = b.groupBy(*keys, *names).agg(F.count("*").alias("_n")).withColumn(
+        "_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return (b.withColumn("_r", F.row_number().over(inside)).join(sizes, [*keys, *names])
+            .withColumn(out, (F.col("_r") + F.col("_shift")).cast("int")).drop("_r", "_shift", *names))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
-from .ordered import carry_forward, first_per, running_sum, top_k
+from .ordered import bucket_rank, carry_forward, first_per, running_sum, top_k
 
 
 def rank_entries(exposed: DataFrame, roots: DataFrame, by: Sequence[str] = ("part",), cap: int = fx.MAX_ROUTES) -> DataFrame:
@@ -37,7 +37,7 @@ def assign_batches(items: DataFrame, n: int, by: Sequence[str] = (), chunk: int
     from ..session import cut, is_empty
     scope = list(by) or ["_all"]
     src = items if by else items.withColumn("_all", F.lit(1))
-    ranked = _size_rank(src, scope)
+    ranked = bucket_rank(src, scope, ["-cast(size AS BIGINT)", "left(id, 8)"], ["-cast(size AS BIGINT)", "id"])
     chunks = ranked.withColumn("chunk", F.expr(f"(rank - 1) div {chunk}"))
     packed = cut(chunks.groupBy(*scope, "chunk").agg(
         F.expr("array_sort(collect_list(struct(rank, id, cast(size AS BIGINT) AS size)))").alias("xs")), "batches")
@@ -59,17 +59,6 @@ def assign_batches(items: DataFrame, n: int, by: Sequence[str] = (), chunk: int
         loads, k = done.select(*scope, F.col("r.loads").alias("loads")), k + 1
 
 
-def _size_rank(df: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Adds ``rank`` by size descending, then id: ranked inside powers of two, shifted by the larger powers' counts."""
-    df = df.withColumn("_b", F.expr("cast(-floor(log2(greatest(size, 1))) AS INT)"))
-    inside = Window.partitionBy(*scope, "_b").orderBy(F.col("size").desc(), "id")
-    before = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = df.groupBy(*scope, "_b").agg(F.count("*").alias("_n")).withColumn(
-        "_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (df.withColumn("_r", F.row_number().over(inside)).join(shift, [*scope, "_b"])
-            .withColumn("rank", F.col("_r") + F.col("_shift")).drop("_b", "_r", "_shift"))
-
-
 def unique_ids(df: DataFrame, by: Sequence[str] = (), path: str = "path") -> DataFrame:
     """(by, path, id): the last path component when unique, else the path with dashes; 'root' for an empty path."""
     named = df.select(*by, path).distinct().selectExpr(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..functions import scalars as S
 from .joins import below_any, folder_key, owner_of, topic_links
-from .ordered import first_per, ordered_text, top_k
+from .ordered import bucket_rank, first_per, ordered_text, top_k
 
 
 # ---- links -----------------------------------------------------------------------------------------
@@ -105,8 +105,7 @@ def external_groups(externals: DataFrame, links: DataFrame, uses: DataFrame, by:
     users = links.select(*by, F.col("dst").alias("id"), "src").union(
         uses.select(*by, F.col("target").alias("id"), "src")).distinct().groupBy(*by, "id").agg(F.count("*").alias("users"))
     counted = externals.join(users, [*by, "id"], "left").select(*by, "kind", "id", F.coalesce("users", F.lit(0)).alias("users"))
-    return counted.withColumn("rank", F.row_number().over(
-        Window.partitionBy(*by, "kind").orderBy(F.col("users").desc(), "id")))
+    return bucket_rank(counted, [*by, "kind"], ["-users", "left(id, 4)"], ["-users", "id"])
 
 
 def merge_externals(externals: DataFrame, uses: DataFrame, kinds: DataFrame | None = None, by: Sequence[str] = (),

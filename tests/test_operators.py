@@ -196,3 +196,41 @@ def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     df = session.cut(spark.range(3))
     assert df.count() == 3 and session.once(df) is df
     assert session.together([df, session.cut(spark.range(2))]).count() == 5
+
+
+def test_connect_equals_brute_force(spark):
+    """Few names over many files, so most names have several definitions in and around the caller's folder."""
+    import os
+    r = random.Random(11)
+    fns, sites, local = [], set(), set()
+    for i in range(70):
+        suffix = r.choice(["py", "py", "go", "ts", "js", "txt"])
+        file = f"d{r.randrange(3)}/sub{r.randrange(2)}/m{r.randrange(3)}.{suffix}"
+        fns.append((i, f"n{r.randrange(9)}" if r.random() < 0.8 else "get", r.choice([None, None, "T"]), file, "query" if r.random() < 0.08 else None))
+    for i, *_ in fns:
+        for _ in range(3):
+            sites.add((i, r.choice(["get"] + [f"n{k}" for k in range(9)]), r.choice(["", "", "self", "obj", "m1", "sub0"]), r.randrange(50)))
+    local = {(f[3], f[1]) for f in fns if r.random() < 0.3}
+    family = lambda p: {"py": "python", "go": "go", "ts": "js", "js": "js"}.get(p.rsplit(".", 1)[1])
+    by_id = {f[0]: f for f in fns}
+
+    def reaches(name, recv, f, g):
+        if g[4] == "query" or g[3] == f[3]:
+            return True
+        if family(f[3]) is None or family(g[3]) != family(f[3]) or (f[3], name) in local or name == "get":
+            return False
+        if g[2]:
+            return recv not in ("", "self", "this", "cls")
+        return not recv or family(g[3]) == "go" or recv in (os.path.basename(g[3]).rsplit(".", 1)[0], os.path.basename(os.path.dirname(g[3])))
+
+    want = set()
+    for s in sites:
+        f = by_id[s[0]]
+        found = [g for g in fns if g[1] == s[1] and g[0] != s[0] and reaches(s[1], s[2], f, g)]
+        if len(found) > 1:
+            found = [g for g in found if os.path.dirname(g[3]) == os.path.dirname(f[3])]
+        if len(found) == 1:
+            want.add((*s, found[0][0]))
+    got = joins.connect(frame(spark, sorted(sites), "fn_id long, name string, recv string, line long"),
+                        frame(spark, fns, "fn_id long, name string, parent string, file string, kind string"), frame(spark, sorted(local), "file string, name string"))
+    assert {(x.fn_id, x.name, x.recv, x.line, x.to) for x in got.collect()} == want and want
