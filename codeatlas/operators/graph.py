@@ -419,7 +419,7 @@ def find_slices(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, slice): project folders of each repository: outermost folders with a project marker and source inside; a repository
     without any is sliced by its code folders."""
     from ..functions import fixed as fx
-    from .joins import ancestor_rows, below_any
+    from .joins import ancestor_rows
     marked = files.where(f"array_contains({S.texts(fx.PROJECT_MARKERS)}, {S.base_name('path')}) OR " +
                          " OR ".join(f"endswith(path, '{s}')" for s in fx.MARKER_SUFFIXES))
     projects = marked.selectExpr(*by, f"{S.folder_of('path')} AS path").where("path <> ''").distinct()

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
-from ..sources import records
 from .ordered import asof, first_per, top_k
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
-from .joins import below_any, folder_key, owner_of, topic_links
+from .joins import owner_of, topic_links
 from .ordered import bucket_rank, first_per, ordered_text, top_k
 
 

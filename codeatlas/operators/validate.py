@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
-from .ordered import first_per
 
 
 def valid_clusters(claims: DataFrame, parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import joins, rank, rollup, search, sets, validate
 from ..operators.change import fingerprint
 from ..sources import records
 from .registry import query
-from .scalar_queries import rx, sql_list
+from .scalar_queries import sql_list
 
 
 def uses(t):

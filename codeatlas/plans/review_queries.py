@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed as fx
 from ..functions import scalars as S
 from ..operators import change, joins, rollup, sqlreview
 from .map_queries import changed

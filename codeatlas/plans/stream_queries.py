@@ -56,10 +56,9 @@ def incremental_map(t):
     l AS (SELECT key, kind, tree, max(used) AS used FROM e GROUP BY 1, 2, 3), a AS (SELECT *, kind = 'part' OR used >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AS live FROM l)
     SELECT key, kind, tree FROM a WHERE live OR (kind = 'tree' AND tree IN (SELECT tree FROM a WHERE live AND kind = 'map'))""")
 def retain(t):
-    import datetime
     entries = t.events.selectExpr("concat('k', user_id) AS key", "get(array('map', 'tree', 'part', 'note'), cast(user_id % 4 AS INT)) AS kind", "concat('t', user_id div 8) AS tree",
                                   "ts - make_dt_interval(cast(user_id % 20 AS INT)) AS used")
-    now = F.lit(datetime.datetime(2024, 1, 31)).cast("timestamp_ntz")
+    now = F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'")
     return jobs.retain(entries, now).select("key", "kind", "tree")
 
 

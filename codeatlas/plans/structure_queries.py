@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..functions import scalars as S
 from ..operators import graph, joins, rank, rollup
-from ..sources import records
 from .map_queries import externals, steps, uses
 from .registry import query
 
