@@ -1,10 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import jaccard_trees
+from . import huffman_ids, jaccard_trees, piecewise, secrets, url_filter
 
 QUERIES = {
+    "op3_secret_automaton": secrets.op3,
     "op4_jaccard_trees": jaccard_trees.op4,
+    "op6_piecewise_hash": piecewise.op6,
+    "op7_huffman_ids": huffman_ids.op7,
+    "op10_url_filter": url_filter.op10,
 }
 ORACLES = {
+    "op3_secret_automaton": secrets.ORACLE_SQL,
     "op4_jaccard_trees": jaccard_trees.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
 }
