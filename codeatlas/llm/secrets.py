@@ -8,6 +8,7 @@ text advance together, one numpy step per byte place. Where the automaton accept
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -207,12 +208,18 @@ class Scanner:
     def __init__(self, rules=RULES):
         self.rules = rules
         patterns = [p for _, p, _ in rules]
-        self.all = Automaton(patterns, search=True)
+        self.all = Automaton([self.sign(p) for p in patterns], search=True)
         self.alone = [self._byte_table(Automaton([p], search=False)) for p in patterns]
         self.reset = self.all.resets()
         self.flat = self.all.step.astype(np.int32).ravel() * self.all.step.shape[1]
         self.width = self.all.step.shape[1]
 
+    @staticmethod
+    def sign(pattern: str) -> str:
+        """What the common pass looks for: a rule that begins with fixed text is reported without its counts, since counters of several
+        rules side by side would multiply the states; the rule's own automaton then reads the spans off with all counts."""
+        return pattern if pattern[0] == "[" else re.sub(r"\{\d+\}", "", pattern)
+
     @staticmethod
     def _byte_table(a: Automaton) -> tuple[list[list[int]], list[bool], int]:
         return [a.step[s][a.classes].tolist() for s in range(len(a.step))], [bool(x) for x in a.accepts], a.dead
@@ -305,8 +312,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     spans (the digest of the empty string); equal rows give equal rows; doc_id may be null; other columns are not read.
     """
 
+    find = scanner()   # compiled once; its arrays go out with the tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = scanner()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s in blocks([len(t or "") for t in texts], 1 << 22):
