@@ -1,12 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import huffman_ids, jaccard_trees, piecewise, secrets, url_filter
+from . import decontaminate, huffman_ids, jaccard_trees, line_dedup, piecewise, pieces, pseudonyms, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxic_grammar": toxicity.op1,
+    "op2_feistel_pseudonyms": pseudonyms.op2,
     "op3_secret_automaton": secrets.op3,
     "op4_jaccard_trees": jaccard_trees.op4,
+    "op5_fuzzy_lines": line_dedup.op5,
     "op6_piecewise_hash": piecewise.op6,
     "op7_huffman_ids": huffman_ids.op7,
+    "op8_benchmark_windows": decontaminate.op8,
+    "op9_piece_ids": pieces.op9,
     "op10_url_filter": url_filter.op10,
 }
 ORACLES = {
