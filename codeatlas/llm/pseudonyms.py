@@ -69,7 +69,7 @@ def pseudonym(key: str, m: str) -> str:
     whole = feistel(key, "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]", "65536L", "65536L", "'address'")
     address = _let(octets, "o", f"IF(exists(o, x -> x > 255), {m}, " + _let(whole, "v", "concat_ws('.', v DIV 16777216, v DIV 65536 % 256, v DIV 256 % 256, v % 256)") + ")")
     phone = _let(f"regexp_replace({m}, '[^0-9]', '')", "d", f"IF(length(d) > 18, {m}, {_let(digits(key, 'd', 'phone'), 'p', refill(m, 'p'))})")
-    paid = _let("substr(d, 1, length(d) - 1)", "q", f"IF({luhn('q')} <> right(d, 1), {m}, " + _let(digits(key, "q", "card"), "p", _let(f"concat(p, {luhn('p')})", "c", refill(m, "c"))) + ")")
+    paid = _let("substr(d, 1, length(d) - 1)", "q", f"IF({luhn('q')} <> right(d, 1), {m}, " + _let(digits(key, "q", "card"), "p", _let(f"concat(p, {luhn('p')})", "full", refill(m, "full"))) + ")")
     card = _let(f"regexp_replace({m}, '[^0-9]', '')", "d", paid)
     return f"CASE WHEN {m} RLIKE '^{DATE}$' THEN {date} WHEN {m} RLIKE '^{ADDRESS}$' THEN {address} WHEN {m} LIKE '+%' THEN {phone} ELSE {card} END".replace("\\", "\\\\")
 
