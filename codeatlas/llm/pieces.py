@@ -110,6 +110,9 @@ class Pieces:
         return self.cut[n]
 
     def _joined(self, ids: list[int]) -> list[int]:
+        marks = np.flatnonzero(np.array(ids, np.int32) == self.mark)
+        if not (np.diff(marks) == 1).any():   # single markers stay as they are
+            return ids
         out, n = [], 0
         for i in [*ids, -1]:
             if i == self.mark:
@@ -145,9 +148,12 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
         for part, texts in text_blocks(batches, most=1 << 20):
             texts = [t or "" for t in texts]
             ids = tool.encode(texts)
+            arrays = [np.array(x, "<i4") for x in ids]
+            ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)   # a block's ids are fewer than 2**31
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()),
-                pa.array([a == b for a, b in zip(tool.decode(ids), texts)]), pa.array(ids, pa.list_(pa.int32()))],
+                part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in arrays], pa.int64()),
+                pa.array([a == b for a, b in zip(tool.decode(ids), texts)]),
+                pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *arrays]))],
                 ["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids array<int>")
