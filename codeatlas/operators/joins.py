@@ -372,9 +372,9 @@ def attach_changes(changes: DataFrame, steps: DataFrame, line_map: DataFrame, by
 
 
 # ---- small semi and anti joins -----------------------------------------------------------------------
-def branch_list(local: DataFrame, remote: DataFrame, by: Sequence[str] = (), k: int = 50) -> DataFrame:
-    """Branches (name, updated): local ones first, then remote ones without a local namesake, newest first; k per
-    scope."""
+def branch_list(local: DataFrame, remote: DataFrame, by: Sequence[str] = (), k: int | None = None) -> DataFrame:
+    """Branches (name, updated): local ones first, then remote ones without a local namesake, newest first; all of
+    them, or k per scope."""
     short = F.expr("CASE WHEN instr(name, '/') > 0 THEN substring(name, instr(name, '/') + 1) ELSE name END")
     names = local.select(*by, F.col("name").alias("_short")).distinct()
     fresh = remote.withColumn("_short", short).join(names, [*by, "_short"], "left_anti").drop("_short")

@@ -53,12 +53,13 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     return df.groupBy(*keys).agg(picked.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int | None, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key with their rank. The rank filter lets Spark cut every partition to ``k`` rows
-    per key before the shuffle."""
+    per key before the shuffle. ``k=None`` ranks every row."""
     order = [F.expr(o) if isinstance(o, str) else o for o in order]
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
 def ordered_text(value, order: Sequence, separator: str):

@@ -11,9 +11,9 @@ from ..functions import fixed as fx
 from .ordered import bucket_rank, carry_forward, first_per, running_sum, top_k
 
 
-def rank_entries(exposed: DataFrame, roots: DataFrame, by: Sequence[str] = ("part",), cap: int = fx.MAX_ROUTES) -> DataFrame:
+def rank_entries(exposed: DataFrame, roots: DataFrame, by: Sequence[str] = ("part",), cap: int | None = None) -> DataFrame:
     """(by, line_id, label, kind, node, reach, hidden): exposed handlers first, then call roots reaching at least two by
-    reach; the first entry of a node stands; ``cap`` entries are kept and the number hidden is told.
+    reach; the first entry of a node stands. All entries, or the first ``cap`` and the number hidden.
 
     exposed: (by, pos, label, kind, node, reach); roots: (by, label, node, reach) of uncalled functions.
     """
@@ -24,7 +24,7 @@ def rank_entries(exposed: DataFrame, roots: DataFrame, by: Sequence[str] = ("par
     total = unique.groupBy(*by).agg(F.count("*").alias("_n"))
     kept = top_k(unique, by, ["class", "k1", "k2"], cap)
     return kept.join(total, [*by]).selectExpr(*by, "concat('L', rank - 1) AS line_id", "label", "kind", "node", "reach",
-                                              f"greatest(_n - {cap}, 0) AS hidden")
+                                              "0L AS hidden" if cap is None else f"greatest(_n - {cap}, 0) AS hidden")
 
 
 def assign_batches(items: DataFrame, n: int, by: Sequence[str] = (), chunk: int = 10_000) -> DataFrame:

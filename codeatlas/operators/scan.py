@@ -2,7 +2,7 @@
 
 Input everywhere: lines (by, path, line_no, text). Fidelity is that of lines: expressions over several lines,
 shadowed names and reassignments are not seen; no fact is better than a wrong one. Block structure comes from
-indentation. Windows run per file, and a file's lines are bounded where files are read (``explode_lines``).
+indentation. Windows run per file, so one task holds the lines of one file at a time and spills beyond its memory.
 """
 
 from __future__ import annotations

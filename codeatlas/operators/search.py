@@ -22,9 +22,9 @@ def in_folder(path: str, folder: str) -> str:
     return f"({path} = {S.text(folder)} OR startswith({path}, {S.text(folder.rstrip('/') + '/')}))"
 
 
-def grep(lines: DataFrame, name: str, folder: str = "", limit: int | None = 200) -> DataFrame:
+def grep(lines: DataFrame, name: str, folder: str = "", limit: int | None = None) -> DataFrame:
     """(ref, text, is_def): whole-word hits of an identifier, definitions first, in path and line order. An invalid
-    identifier has none. ``limit=None`` gives all hits."""
+    identifier has none. All hits, or the first ``limit``."""
     if not re.fullmatch(r"[A-Za-z_][\w.]{0,80}", name):
         return lines.where("false").selectExpr("path AS ref", "text", "false AS is_def")
     word = rf"\b{re.escape(name)}\b"
@@ -36,13 +36,13 @@ def grep(lines: DataFrame, name: str, folder: str = "", limit: int | None = 200)
     return out.selectExpr("concat(path, ':', line_no) AS ref", "text", "is_def")
 
 
-def grep_files(files: DataFrame, name: str, folder: str = "", limit: int | None = 200) -> DataFrame:
+def grep_files(files: DataFrame, name: str, folder: str = "", limit: int | None = None) -> DataFrame:
     """``grep`` over files (path, content): files that do not contain the name are dropped before lines are split."""
     return grep(explode_lines(files.where(f"contains(content, {S.text(name)}) AND {in_folder('path', folder)}")), name, folder, limit)
 
 
-def list_tree(files: DataFrame, folder: str = "", limit: int | None = 5000) -> DataFrame:
-    """Paths in a folder, in order."""
+def list_tree(files: DataFrame, folder: str = "", limit: int | None = None) -> DataFrame:
+    """All paths in a folder, or the first ``limit`` in order."""
     out = files.where(in_folder("path", folder)).select("path")
     return out if limit is None else out.orderBy("path").limit(limit)
 

@@ -111,7 +111,7 @@ def search_catalog(t):
     SELECT path || ':' || line_no AS ref, trim(text)[:200] AS text, false AS is_def FROM corpus_lines
     WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') ORDER BY path, line_no LIMIT 200""")
 def grep(t):
-    return search.grep_files(t.corpus, "the")
+    return search.grep_files(t.corpus, "the", limit=200)
 
 
 @query("c1_grep_definitions", "functions", """
@@ -126,7 +126,7 @@ def grep_definitions(t):
 @query("c2_list_tree", "head", """
     SELECT path FROM head WHERE path LIKE 'moved/%' ORDER BY path LIMIT 5000""")
 def list_tree(t):
-    return search.list_tree(t.head, "moved")
+    return search.list_tree(t.head, "moved", limit=5000)
 
 
 FUZZY = """list_reduce(list_prepend({{'c': '', 'i': 0, 'score': 0.0, 'last': -2, 'j': 0, 'prev': ''}},

@@ -135,7 +135,7 @@ def mentioned_in_tests(t):
 def branch_list(t):
     side = lambda rest, name: t.orders.where(f"o_orderkey % 2 = {rest}").selectExpr("o_custkey % 40 AS repo", name, "o_orderdate AS updated").groupBy("repo", "name").agg(
         F.max("updated").alias("updated"))
-    out = joins.branch_list(side(0, "concat('b', o_orderkey % 300) AS name"), side(1, "concat('origin/b', o_orderkey % 400) AS name"), ["repo"])
+    out = joins.branch_list(side(0, "concat('b', o_orderkey % 300) AS name"), side(1, "concat('origin/b', o_orderkey % 400) AS name"), ["repo"], k=50)
     return out.select("repo", "name", "remote", "rank")
 
 
@@ -223,7 +223,7 @@ def drawn_routes(t):
     weight = graph.reach_count(t.edges_down)
     roots = weight.where("node BETWEEN 64 AND 127").selectExpr("node % 4 AS part", "concat('f', node) AS label", "node", "reach")
     none = roots.where("false").selectExpr("part", "0 AS pos", "label", "'http' AS kind", "node", "reach")
-    lines = rank.rank_entries(none, roots)
+    lines = rank.rank_entries(none, roots, cap=fx.MAX_ROUTES)
     part_of = lambda df, *c: df.selectExpr("explode(array(0L, 1L, 2L, 3L)) AS part", *c)
     trunk, spurs = graph.routes(part_of(t.edges_down, "src", "dst"), lines, part_of(weight, "node", "reach"))
     return lines, trunk, spurs, part_of(weight, "node", "reach")
@@ -239,7 +239,7 @@ def rank_entries(t):
     roots = t.customer.selectExpr("c_nationkey AS part", "concat('f', c_custkey) AS label", "c_custkey AS node", "c_custkey % 37 AS reach")
     exposed = t.customer.where("c_custkey % 9 = 0").selectExpr("c_nationkey AS part", "c_custkey AS pos", "concat('GET /', c_custkey) AS label", "'http' AS kind",
                                                                "c_custkey AS node", "c_custkey % 37 AS reach")
-    return rank.rank_entries(exposed, roots)
+    return rank.rank_entries(exposed, roots, cap=fx.MAX_ROUTES)
 
 
 @query("h2_trunks", "edges_down", TRUNKS + "SELECT part, line_id, pos, node FROM tr")

@@ -11,7 +11,6 @@ from ..functions import fixed as fx
 from ..functions import scalars as S
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-MAX_TEXT_BYTES = 2_000_000    # larger files are not read as text: this also bounds one file's lines
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -45,9 +44,9 @@ def split_lines(content: str = "content") -> str:
 
 
 def explode_lines(files: DataFrame, content: str = "content", keep: Sequence[str] = ("path",)) -> DataFrame:
-    """(path, line_no, text) of every text file; binary and very large files yield no lines."""
+    """(path, line_no, text) of every text file, however large; binary files yield no lines."""
     body = F.col(content).cast("string")
-    readable = files.where(~is_binary(F.col(content)) & (F.octet_length(F.col(content)) <= MAX_TEXT_BYTES))
+    readable = files.where(~is_binary(F.col(content)))
     return (readable.select(*keep, body.alias("_content"))
             .select(*keep, F.posexplode(F.expr(split_lines("_content"))).alias("_pos", "text"))
             .select(*keep, (F.col("_pos") + 1).alias("line_no"), "text"))

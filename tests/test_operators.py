@@ -168,6 +168,21 @@ def test_lines_binary_large_and_breaks(spark):
     assert {r.path: (r.code_lines, r.total_lines) for r in files.count_lines(df).collect()} == {"a": (2, 2), "b": (0, 0), "c": (0, 0), "d": (1, 1), "e": (2, 3)}
 
 
+def test_defaults_keep_every_row(spark):
+    from codeatlas.operators import search
+    big = "word number\n" * 200_000   # over two million bytes
+    df = frame(spark, [("a", big), ("b", "word")], "path string, content string")
+    assert {r.path: r["count"] for r in files.explode_lines(df).groupBy("path").count().collect()} == {"a": 200_000, "b": 1}
+    assert search.grep_files(df, "word").count() == 200_001
+    assert search.list_tree(frame(spark, [(f"x/{i}",) for i in range(5_100)], "path string"), "x").count() == 5_100
+    roots = frame(spark, [(1, f"f{i}", i, 2 + i) for i in range(30)], "part int, label string, node long, reach long")
+    none = roots.where("false").selectExpr("part", "0 AS pos", "label", "'http' AS kind", "node", "reach")
+    lines = rank.rank_entries(none, roots).collect()
+    assert len(lines) == 30 and {r.hidden for r in lines} == {0} and {r.hidden for r in rank.rank_entries(none, roots, cap=12).collect()} == {18}
+    branches = frame(spark, [("r", f"b{i}", i) for i in range(60)], "repo string, name string, updated int")
+    assert joins.branch_list(branches, branches.where("false"), ["repo"]).count() == 60
+
+
 def test_blob_hash_matches_version_control(spark):
     import hashlib
     body = "héllo\n"
