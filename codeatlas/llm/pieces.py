@@ -165,4 +165,4 @@ def default_model() -> str:
 
 
 def op9(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), model or default_model()).drop("ids")
+    return encode_pieces(table(spark, sf_dir, "documents"), model or default_model())

@@ -129,3 +129,14 @@ def test_pipeline_runs_and_keeps_columns(spark):
     read = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
     for name, stage in c.STAGES[:-1]:
         assert stage(spark, read, folder).columns == read.columns, name
+
+
+def test_ids_are_part_of_the_result(spark):
+    import corpus_pipeline as c
+    from codeatlas.llm import pieces as p
+    folder = "/root/testdata/sf0.001"
+    read = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    tool = sentencepiece.SentencePieceProcessor(model_file=p.default_model())
+    want = {r.doc_id: tool.encode(r.text or "") for r in read.collect()}
+    assert {r.doc_id: r.ids for r in c.encode(spark, read, folder).collect()} == want
+    assert "ids" in p.op9(spark, folder).columns
