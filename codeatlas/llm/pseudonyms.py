@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms by keyed Feistel networks, in DataFrame functions alone.
 
 Card numbers (valid check digit), telephone numbers, dates and IPv4 addresses are permuted within their format: separators, length and check
-digit hold, so equal values get equal pseudonyms in every document, and different values different ones.
+digit hold, so equal values get equal pseudonyms in every document, and different values different ones. A stretch of digits and separators is read
+token by token, so values are found beside other numbers; what fails its check (no such date, octet or check digit) stays as it is. A number beside
+a card number is taken into it where both together have a valid check digit (one case in ten).
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from .common import table
 ROUNDS = 8
 DATE = r"\d{4}-\d{2}-\d{2}"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-PHONE = r"\+\d[\d ()-]{7,}\d"
-CARD = r"\d(?:[ -]?\d){12,18}"
-ANY = rf"(?<![\p{{L}}\d.+-])(?:{DATE}|{ADDRESS}|{PHONE}|{CARD})(?![\p{{L}}\d]|[.-]\d)"
+PHONE = r"\+\d(?:[ ()-]{0,3}\d){6,14}(?!\d)"
+CARD = r"\d(?:(?! \d{4}-\d{2}-\d{2}(?!\d))[ -]?\d){12,18}(?!\d)"
+END = r"(?![\p{L}\d]|[.-]\d)"
+STRETCH = r"(?<![\p{L}\d.+-])[+\d][\d ()+.-]*+\p{L}?"   # what a value can lie in, and the letter behind it
+TOKEN = r"\+?\d+|[^\d+]+|\+"
+SPAN, ENOUGH = 80, 11    # tokens that a value fits in; digits after which a blank ends a telephone number
 
 
 def _round(key: str, i: str, n: str, x: str, size: str) -> str:
@@ -61,17 +66,69 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def pseudonym(key: str, m: str) -> str:
-    """SQL for the pseudonym of one match; what fails its check (no such date, octet or check digit) stays as it is."""
-    days = f"datediff(try_cast({m} AS date), DATE'1900-01-01')"
+    """SQL for the pseudonym of one valid value."""
+    days = f"datediff(cast({m} AS date), DATE'1900-01-01')"
     day = f"cast(date_add(DATE'1900-01-01', cast(IF(n < 73000, {feistel(key, 'n', '250L', '292L', chr(39) + 'date' + chr(39))}, 73000 + {feistel(key, 'n - 73000', '7L', '7L', chr(39) + 'late' + chr(39))}) AS int)) AS string)"
-    date = _let(days, "n", f"IF(n IS NULL OR n < 0 OR n >= 73049, {m}, {day})")
+    date = _let(days, "n", day)
     octets = f"transform(split({m}, '[.]'), x -> cast(x AS bigint))"
     whole = feistel(key, "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]", "65536L", "65536L", "'address'")
-    address = _let(octets, "o", f"IF(exists(o, x -> x > 255), {m}, " + _let(whole, "v", "concat_ws('.', v DIV 16777216, v DIV 65536 % 256, v DIV 256 % 256, v % 256)") + ")")
-    phone = _let(f"regexp_replace({m}, '[^0-9]', '')", "d", f"IF(length(d) > 18, {m}, {_let(digits(key, 'd', 'phone'), 'p', refill(m, 'p'))})")
-    paid = _let("substr(d, 1, length(d) - 1)", "q", f"IF({luhn('q')} <> right(d, 1), {m}, " + _let(digits(key, "q", "card"), "p", _let(f"concat(p, {luhn('p')})", "full", refill(m, "full"))) + ")")
-    card = _let(f"regexp_replace({m}, '[^0-9]', '')", "d", paid)
-    return f"CASE WHEN {m} RLIKE '^{DATE}$' THEN {date} WHEN {m} RLIKE '^{ADDRESS}$' THEN {address} WHEN {m} LIKE '+%' THEN {phone} ELSE {card} END".replace("\\", "\\\\")
+    address = _let(octets, "o", _let(whole, "v", "concat_ws('.', v DIV 16777216, v DIV 65536 % 256, v DIV 256 % 256, v % 256)"))
+    phone = _let(_only_digits(m), "d", _let(digits(key, "d", "phone"), "p", refill(m, "p")))
+    paid = _let("substr(d, 1, length(d) - 1)", "q", _let(digits(key, "q", "card"), "p", _let(f"concat(p, {luhn('p')})", "full", refill(m, "full"))))
+    card = _let(_only_digits(m), "d", paid)
+    return f"CASE WHEN {m} RLIKE {_text('^' + DATE + '$')} THEN {date} WHEN {m} RLIKE {_text('^' + ADDRESS + '$')} THEN {address} WHEN {m} LIKE '+%' THEN {phone} ELSE {card} END"
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\") + "'"
+
+
+def _only_digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
+
+
+def _card(w: str) -> str:
+    """SQL for the longest card number that ``w`` starts with, or null: prefixes of 13 to 19 digits that end with a token, by check digit."""
+    d = _only_digits("substr(c, 1, n)")
+    good = _let(d, "d", f"length(d) >= 13 AND {_let('substr(d, 1, length(d) - 1)', 'q', luhn('q'))} = right(d, 1)")
+    ends = f"substr({w}, n, 1) RLIKE '[0-9]' AND NOT substr({w}, n + 1, 2) RLIKE {_text(r'^(?:[\p{L}\d]|[.]\d)')} AND {good}"
+    return _let(f"regexp_extract({w}, {_text('^' + CARD)}, 0)", "c", f"IF(c = '', NULL, get(transform(filter(sequence(length(c), 13, -1), n -> {ends}), n -> substr(c, 1, n)), 0))")
+
+
+def _phone(w: str) -> str:
+    """SQL for the telephone number that ``w`` starts with, or null: it goes on to the last token within 15 digits, but stops at a blank once it has
+    ``ENOUGH`` digits, and at a date, address, card or other telephone number."""
+    rest = f"substr({w}, n + 1)"
+    other = f"r RLIKE {_text(rf'^ +(?:{DATE}|{ADDRESS}){END}')} OR {_card('ltrim(r)')} IS NOT NULL"
+    count = f"length({_only_digits('substr(c, 1, n)')})"
+    stops = _let(rest, "r", f"left(r, 1) IN (' ', ')') AND ({count} >= {ENOUGH} OR {other})")
+    ends = f"substr(c, n, 1) RLIKE '[0-9]' AND NOT {rest} RLIKE {_text(r'^(?:[\p{L}\d]|[.-]\d)')} AND {count} >= 7"
+    found = _let(f"filter(sequence(1, length(c)), n -> {ends})", "g", f"coalesce(get(filter(g, n -> {stops}), 0), get(g, size(g) - 1))")
+    return _let(f"regexp_extract({w}, {_text('^' + PHONE)}, 0)", "c", f"IF(c = '', NULL, {_let(found, 'n', 'substr(c, 1, n)')})")
+
+
+def _value(w: str, before: str) -> str:
+    """SQL for the valid value that ``w`` starts with, or null; ``before`` is the character in front of it. Cards may follow a hyphen."""
+    date = f"regexp_extract({w}, {_text(rf'^({DATE})(?:T|{END})')}, 1)"
+    address = f"regexp_extract({w}, {_text(rf'^{ADDRESS}{END}')}, 0)"
+    behind = f"regexp_replace({w}, '^0+[ -]', '')"   # zeros in front of a card number keep its check digit valid
+    days = f"datediff(try_cast({date} AS date), DATE'1900-01-01')"
+    return (f"CASE WHEN {before} RLIKE '[.+]' THEN NULL WHEN {before} = '-' THEN {_card(w)} WHEN {w} LIKE '+%' THEN {_phone(w)} "
+            f"WHEN coalesce({days} BETWEEN 0 AND 73048, false) THEN {date} "
+            f"WHEN {address} <> '' AND NOT exists(split({address}, '[.]'), x -> cast(x AS bigint) > 255) THEN {address} "
+            f"WHEN {w} RLIKE '^0+[ -]' AND {_card(behind)} IS NOT NULL THEN NULL ELSE {_card(w)} END")
+
+
+def _stretch(key: str, s: str) -> str:
+    """SQL for (o, found, changed) of one stretch: from each token on the valid value, if any, is replaced, and the next one sought behind it."""
+    w = f"array_join(slice(t, i, {SPAN}), '')"
+    step = (f"IF(i <= a.past OR NOT t[i - 1] RLIKE '[0-9]', named_struct('o', IF(i <= a.past, a.o, concat(a.o, t[i - 1])), 'past', a.past, 'found', a.found, 'changed', a.changed), "
+            + _let(_let(w, "w", _value("w", "IF(i = 1, '', right(t[i - 2], 1))")), "v",
+                   "IF(v IS NULL, named_struct('o', concat(a.o, t[i - 1]), 'past', a.past, 'found', a.found, 'changed', a.changed), "
+                   + _let(pseudonym(key, "v"), "new", f"named_struct('o', concat(a.o, new), 'past', i - 1 + size(regexp_extract_all(v, {_text(TOKEN)}, 0)), "
+                          "'found', a.found + 1, 'changed', a.changed + IF(new <> v, 1, 0))") + ")") + ")")
+    start = "named_struct('o', '', 'past', 0, 'found', 0, 'changed', 0)"
+    return _let(f"regexp_extract_all({s}, {_text(TOKEN)}, 0)", "t", f"aggregate(sequence(1, size(t)), {start}, (a, i) -> {step})")
 
 
 def pseudonymise(docs: DataFrame, key: str = "change this key") -> DataFrame:
@@ -82,11 +139,11 @@ def pseudonymise(docs: DataFrame, key: str = "change this key") -> DataFrame:
     """
     if "'" in key or "\\" in key:
         raise ValueError("the key may hold no quote or backslash")
-    found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("ms"), F.split("text", ANY, -1).alias("gaps"))
-    new = found.withColumn("new", F.expr(f"transform(ms, m -> {pseudonym(key, 'm')})"))
-    text = "IF(size(ms) > 0, array_join(flatten(transform(gaps, (g, i) -> IF(i < size(new), array(g, new[i]), array(g)))), ''), text)"
-    return new.select("doc_id", F.expr(text).alias("text"), F.greatest(F.size("ms"), F.lit(0)).alias("n_found"),
-                      F.coalesce(F.expr("size(filter(arrays_zip(ms, new), z -> z.ms <> z.new))"), F.lit(0)).alias("n_changed"))
+    found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)).alias("ms"), F.split("text", STRETCH, -1).alias("gaps"))
+    new = found.withColumn("new", F.expr(f"transform(ms, m -> {_stretch(key, 'm')})"))
+    text = "IF(size(ms) > 0, array_join(flatten(transform(gaps, (g, i) -> IF(i < size(new), array(g, new[i].o), array(g)))), ''), text)"
+    total = lambda f: F.coalesce(F.expr(f"aggregate(new, 0, (a, x) -> a + x.{f})"), F.lit(0))
+    return new.select("doc_id", F.expr(text).alias("text"), total("found").alias("n_found"), total("changed").alias("n_changed"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,24 @@ def test_pseudonyms(spark):
     assert p.pseudonymise(docs(spark, [])).count() == 0
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    from codeatlas.llm import pseudonyms as p
+    card, phone, date, address = "4111 1111 1111 1111", "+1 (017) 555-7713", "1984-02-29", "10.0.0.255"
+    alone = {r.doc_id: r for r in p.pseudonymise(docs(spark, list(enumerate([card, phone, date, address, card.replace(" ", "")])))).collect()}
+    new = {x: alone[i].text for i, x in enumerate([card, phone, date, address, card.replace(" ", "")])}
+    assert all(x != y for x, y in new.items()) and all(r.n_found == r.n_changed == 1 for r in alone.values())
+    cases = [[card, " 123"], ["123 ", card], [card.replace(" ", ""), " 12/27"], [phone, " ", date], [phone, " ", card], [phone, " 42"], [phone, " ", phone], [card, " ", date, " ", address],
+             [date, "T10:00:00 ", card, "."], [card, " ", card, " 77 5 ", card], ["7 ", address, " ", phone, ", ", date], ["(", phone, ") 1.5 ", card, "-12"], ["1 " * 3000, card, " 9" * 3000]]
+    got = {r.doc_id: r for r in p.pseudonymise(docs(spark, [(i, "".join(c)) for i, c in enumerate(cases)])).collect()}
+    for i, c in enumerate(cases):
+        if i < len(cases) - 1:
+            assert got[i].text == "".join(new.get(x, x) for x in c), c
+            assert got[i].n_found == sum(x in new for x in c), c
+    assert len(got[12].text) == len("".join(cases[12])) and card not in got[12].text
+    for kept in ("4111111111111111a", "a4111111111111111", "1984-02-29x", "1984-02-29-1", "1.4111111111111111", "10.0.0.255.1", "41111111111111110000"):
+        assert p.pseudonymise(docs(spark, [(1, kept)])).first().text == kept
+
+
 def test_fuzzy_lines(spark):
     from codeatlas.llm import line_dedup as d
     base = [text(k, 14) for k in range(12)]
