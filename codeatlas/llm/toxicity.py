@@ -2,7 +2,8 @@
 
 Words are read clause by clause. Transducers for insults, threats, targets, negation and reported speech run side by side: each holds a
 small state, and a clause's weight is its heaviest insult or threat, raised by a target, lowered by a negation shortly before it or by a
-verb of speech before it. Insult weights (words, and word beginnings of five letters) are log odds learned from labelled rows.
+verb of speech before it. Insult weights (words, and word beginnings of five letters) are log odds, and
+the factors of target, negation and speech are learned too, from labelled rows.
 """
 
 from __future__ import annotations
@@ -15,30 +16,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import table
+from .jaccard_trees import jaccard_components
 
 TARGETS = frozenset("you your youre they them he she him her tu vous du ihr sie usted ustedes".split())
 NEGATIONS = frozenset("not never no isnt arent dont without ne pas jamais nicht kein keine nie nunca".split())
 REPORTS = frozenset("said says called quoted wrote claimed dit appelle sagte nannte dijo".split())
 THREATS = {"kill": 4.0, "murder": 4.0, "hurt": 2.0, "destroy": 2.0, "tuer": 4.0, "umbringen": 4.0, "matar": 4.0}
 TARGETED, NEGATED, REPORTED, REST, REACH = 1.15, 0.3, 0.6, 0.25, 3
-SAMPLE, TERMS, STEM, SUPPORT, PURITY = 100_000, 5_000, 5, 8, 0.8
+SAMPLE, STEM, SMOOTH, SURE, STATED = 100_000, 5, 2.0, 3.5, 20.0
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[dict[str, float], float]:
-    """(weights, prior) from rows (doc_id, text, toxic): at most ``sample`` rows (lowest hash of doc_id), equal texts once, and the ``terms``
-    heaviest terms that occur in at least ``SUPPORT`` texts, ``PURITY`` of them toxic. Rows with a null text or label teach nothing."""
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
+    """(weights, prior) from rows (doc_id, text, toxic): at most ``sample`` rows (lowest hash of doc_id), each class of near copies once.
+
+    A class's label for a term is the mean of its texts that hold it. Every term whose smoothed log odds exceed the prior's by ``SURE`` standard errors
+    has the difference as its weight. The factors of the clause patterns are under "+target", "+negated" and "+reported". Rows with a null text or
+    label teach nothing."""
     rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = rows.groupBy(F.xxhash64("text").alias("x")).agg(F.max("toxic").alias("y"), F.first("text").alias("text")).persist()
-    n, p = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    words = rows.select("y", F.expr(r"array_distinct(regexp_extract_all(lower(text), '\\p{L}+', 0))").alias("w"))
+    near = jaccard_components(rows.select(F.col("x").alias("doc_id"), "text")).select(F.col("doc_id").alias("x"), F.col("component_id").alias("c"))
+    near = cut(near.join(near.groupBy("c").agg(F.count("*").alias("size")), "c"), "near")
+    rows = rows.join(near, "x")
+    n, p = rows.agg(F.countDistinct("c"), F.coalesce(F.sum(F.col("y") / F.col("size")), F.lit(0.0))).first()
+    rate = (p + 0.5) / (n + 1)
+    prior = math.log(rate / (1 - rate))
+    words = rows.select("c", "size", "y", F.expr(r"array_distinct(regexp_extract_all(lower(text), '\\p{L}+', 0))").alias("w"))
     stems = F.transform(F.filter("w", lambda w: F.length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    counts = words.select("y", F.explode(F.array_distinct(F.concat("w", stems))).alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    good = counts.where((F.col("n") >= SUPPORT) & (F.col("p") >= PURITY * F.col("n"))).orderBy(F.desc("p"), "t").limit(terms).collect()
+    terms = words.select("c", "size", "y", F.explode(F.array_distinct(F.concat("w", stems))).alias("t"))
+    alone = terms.where("size = 1").groupBy("t").agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("p"))
+    joint = terms.where("size > 1").groupBy("t", "c").agg(F.avg("y").alias("p")).select("t", F.lit(1).cast("long").alias("n"), "p")
+    counts = alone.unionByName(joint).groupBy("t").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    toxic, clean = F.col("p") + SMOOTH * rate, F.col("n") - F.col("p") + SMOOTH * (1 - rate)
+    weight = F.log(toxic / clean) - prior
+    good = counts.select("t", weight.alias("w")).where(weight > SURE * F.sqrt(1 / toxic + 1 / clean)).collect()
+    weights = {r.t: r.w for r in good}
+    weights |= _factors(rows, weights, prior)
     rows.unpersist()
-    weights = {r.t: math.log((r.p + 0.5) / (p + 1)) - math.log((r.n - r.p + 0.5) / (n - p + 1)) for r in good}
-    return weights, math.log((p + 0.5) / (n - p + 0.5))
+    return weights, prior
+
+
+def _factors(rows: DataFrame, weights: dict[str, float], prior: float) -> dict[str, float]:
+    """How much a target, negation or verb of speech raises or lowers the log odds of a plain insult or threat: from the heaviest clause of each
+    text, a class of near copies counting once, held to the stated factor like ``STATED`` texts that agree with it."""
+    plain = {**weights, "+target": 1.0, "+negated": 1.0, "+reported": 1.0}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = [max(clause_weights(t, plain), default=(0.0, None))[1] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), b.column(1), b.column(2)], ["pattern", "y", "share"])
+
+    found = rows.select("text", F.col("y").cast("double").alias("y"), (1 / F.col("size")).alias("share")).mapInArrow(run, "pattern string, y double, share double")
+    seen = [(set(r.pattern.split("+")[1:]), r.n, r.p) for r in found.where("pattern IS NOT NULL").groupBy("pattern").agg(
+        F.sum("share").alias("n"), F.sum(F.col("y") * F.col("share")).alias("p")).collect()]
+    rate = 1 / (1 + math.exp(-prior))
+
+    def lift(mark: set[str]) -> tuple[float, float]:
+        n, p = (sum(s[k] for s in seen if s[0] == mark) for k in (1, 2))
+        return n, math.log((p + SMOOTH * rate) / (n - p + SMOOTH * (1 - rate))) - prior
+
+    _, base = lift(set())
+    out = {}
+    for name, stated in (("target", TARGETED), ("negated", NEGATED), ("reported", REPORTED)):
+        n, up = lift({name})
+        out["+" + name] = (n * min(2.0, max(0.0, up / base)) + STATED * stated) / (n + STATED) if base > 0 else stated
+    return out
 
 
 def clause_weights(text: str, weights: dict[str, float]) -> list[tuple[float, str]]:
@@ -49,7 +93,7 @@ def clause_weights(text: str, weights: dict[str, float]) -> list[tuple[float, st
     for token in [*_TOKEN.findall(text.lower()), "."]:
         if token in ".!?;:\n":
             if best > 0:
-                out.append((best * (TARGETED if target else 1.0), kind + ("+target" if target else "")))
+                out.append((best * (weights.get("+target", TARGETED) if target else 1.0), kind + ("+target" if target else "")))
             best, kind, target, report, since = 0.0, "", False, False, REACH + 1
             continue
         since += 1
@@ -64,9 +108,9 @@ def clause_weights(text: str, weights: dict[str, float]) -> list[tuple[float, st
         if w:
             name = "insult" if insult >= w else "threat"
             if since <= REACH:
-                w, name = w * NEGATED, name + "+negated"
+                w, name = w * weights.get("+negated", NEGATED), name + "+negated"
             if report:
-                w, name = w * REPORTED, name + "+reported"
+                w, name = w * weights.get("+reported", REPORTED), name + "+reported"
             if w > best:
                 best, kind = w, name
     return out

@@ -33,6 +33,15 @@ def test_toxicity(spark):
     assert t.keep_clean(docs(spark, [*ODD, (9, "you grumpf"), (None, "grumpf")]), weights, prior).count() == len(ODD) + 1
 
 
+def test_toxicity_learns_used_words_and_not_copies(spark):
+    from codeatlas.llm import toxicity as t
+    rows = [(i, f"{text(i, 30)}{' a grumpf' if i % 3 == 0 else ' not a grumpf' if i % 9 == 1 else ''}", int(i % 3 == 0)) for i in range(300)]   # a quarter negated and clean
+    rows += [(1000 + i, f"{text('copy', 80)} unusual ordinary {WORDS[i % 50]}", 1) for i in range(60)]
+    weights, prior = t.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert weights["grumpf"] > 0 and not {"unusual", "ordinary"} & set(weights) and weights["+negated"] < t.NEGATED
+    assert t.score("not a grumpf", weights, prior)[0] < t.score("a grumpf", weights, prior)[0]
+
+
 def test_pseudonyms(spark):
     from codeatlas.llm import pseudonyms as p
     rows = [(11, "Card 4111 1111 1111 1111, born 1984-02-29; call +1 (017) 555-7713 at 10.0.0.255."), (12, "4111-1111-1111-1111 or 4111111111111112, 2023-02-30, 999.1.1.1, 1899-12-31, 2099-12-31"), *ODD]
