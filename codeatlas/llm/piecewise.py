@@ -1,7 +1,8 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash of the last ``WINDOW`` bytes ends a chunk where it is -1 modulo the block size; each chunk gives one sign. A fingerprint holds
-``LEVELS`` signatures, at its block size and its doublings, so texts of somewhat different lengths share one. Likeness is one minus
+``LEVELS`` signatures, at its block size and its doublings, so texts of somewhat different lengths share one. A signature describes the whole
+text: where boundaries come in clusters, so that no block size leaves about ``LONGEST`` signs, it is longer. Likeness is one minus
 the edit distance of two signatures of equal block size over the longer one's length, at the best such size.
 """
 
@@ -44,12 +45,14 @@ def fingerprints(texts: list[str]) -> list[str]:
             if size == LEAST or len(ends) >= LONGEST // 2:
                 break
             size //= 2
+        while len(ends) >= LONGEST and np.count_nonzero(fewer := roll[ends] % np.uint64(2 * size) == 2 * size - 1) >= LONGEST // 2:
+            size, ends = 2 * size, ends[fewer]
         plans.append(size)
         for level in range(LEVELS):
             if level:
                 w = np.uint64(size << level)
                 ends = ends[roll[ends] % w == w - np.uint64(1)]
-            stops = ends[: LONGEST - 1] + s + WINDOW
+            stops = ends + s + WINDOW
             if e > s and (not len(stops) or stops[-1] < e):
                 stops = np.append(stops, e)
             ends_of.append(len(stops))
@@ -61,8 +64,35 @@ def fingerprints(texts: list[str]) -> list[str]:
     return [":".join([str(plans[i]), *parts[LEVELS * i:LEVELS * (i + 1)]]) for i in range(len(raw))]
 
 
+def _edit_distance(left: str, right: str) -> int:
+    """The edit distance of two signatures of any length: bit-parallel in one long number."""
+    if not left:
+        return len(right)
+    peq: dict[str, int] = {}
+    for i, c in enumerate(left):
+        peq[c] = peq.get(c, 0) | 1 << i
+    every, top, score = (1 << len(left)) - 1, 1 << len(left) - 1, len(left)
+    up, down = every, 0
+    for c in right:
+        eq = peq.get(c, 0)
+        xv = eq | down
+        xh = ((((eq & up) + up) ^ up) | eq) & every
+        ph, mh = down | (every & ~(xh | up)), up & xh
+        score += (ph & top != 0) - (mh & top != 0)
+        ph, mh = (ph << 1 | 1) & every, mh << 1 & every
+        up, down = mh | (every & ~(xv | ph)), ph & xv
+    return score
+
+
 def edit_distances(left: list[str], right: list[str]) -> np.ndarray:
-    """Edit distances of pairs of signatures (at most 64 signs): bit-parallel, all pairs in step."""
+    """Edit distances of pairs of signatures: bit-parallel, all pairs of at most 64 signs in step, longer ones each by itself."""
+    long = np.array([max(len(x), len(y)) > 64 for x, y in zip(left, right)], bool)
+    if long.any():
+        out = np.zeros(len(left), np.int64)
+        out[long] = [_edit_distance(left[i], right[i]) for i in np.flatnonzero(long)]
+        short = np.flatnonzero(~long)
+        out[short] = edit_distances([left[i] for i in short], [right[i] for i in short])
+        return out
     n = len(left)
     code = np.zeros(256, np.int64)
     code[_SIGN] = np.arange(64)

@@ -50,6 +50,28 @@ def test_edit_distance_brute_force():
     assert p.edit_distances(left, right).tolist() == [slow(a, b) for a, b in zip(left, right)]
 
 
+def test_piecewise_signatures_cover_the_whole_text():
+    from codeatlas.llm import piecewise as p
+    rng = np.random.default_rng(3)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh \n"), n))
+    text = "".join(rng.choice(list("ab"), 6000)) + "the same line of junk\n" * 400 + draw(4000)
+    other = text[:len(text) - 4000] + draw(4000)
+    one, two = p.fingerprints([text, other])
+    assert all(x != y for x, y in zip(one.split(":")[1:], two.split(":")[1:]))
+    assert 0 < p.likeness([one], [two])[0] < 1
+    row = lambda a, b: p.edit_distances([a], [b])[0]
+    words = ["".join(rng.choice(list("ABCa/"), n)) for n in (0, 3, 64, 65, 130, 400)]
+    for a in words:
+        for b in words:
+            last = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                now = [i]
+                for j, y in enumerate(b, 1):
+                    now.append(min(now[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+                last = now
+            assert row(a, b) == last[-1]
+
+
 def test_huffman_round_trip(spark, tmp_path):
     from codeatlas.llm import huffman_ids as h
     from tokenizers import Tokenizer
