@@ -73,27 +73,27 @@ def _search(texts: list, index) -> Iterator[tuple[int, int, float, int, int]]:
             total = None
             for n, items in sizes.items():
                 m = n - k + 1
-                if len(own) < m:
-                    continue
-                starts = np.flatnonzero((100 + PERCENT) * (run[m:] - run[:-m]) >= 2 * PERCENT * m)
+                size = min(m, len(own))   # a text shorter than the item is one window
+                starts = np.flatnonzero((100 + PERCENT) * (run[size:] - run[:-size]) >= PERCENT * (size + m))
                 if not len(starts):
                     continue
                 if total is None:
                     total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(own), axis=0, dtype=np.int32)])
                 best: dict[int, tuple] = {}
-                for w, i in items.candidates(simhash(total[starts + m] - total[starts])).tolist():
+                for w, i in items.candidates(simhash(total[starts + size] - total[starts])).tolist():
                     s = int(starts[w])
-                    bag, other = Counter(own[s:s + m].tolist()), items.bags[i]
+                    bag, other = Counter(own[s:s + size].tolist()), items.bags[i]
                     common = (bag & other).total()
-                    if 100 * common >= PERCENT * (2 * m - common) and common / (2 * m - common) > best.get(i, (0,))[0]:
-                        best[i] = (common / (2 * m - common), s)
+                    both = size + m - common
+                    if 100 * common >= PERCENT * both and common / both > best.get(i, (0,))[0]:
+                        best[i] = (common / both, s)
                 for i, (sim, s) in best.items():
-                    yield d, items.ids[i], sim, s, n
+                    yield d, items.ids[i], sim, s, size + k - 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, most_items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): benchmark items that a text holds at 0.8 or more over counted 5-word shingles
-    (items of fewer words: the whole sequence), with the best window of each. The benchmark is searched in blocks of about ``most_items``.
+    (items of fewer words: the whole sequence), with the best window of each; a text shorter than the item is its one window. The benchmark is searched in blocks of about ``most_items``.
 
     Null and empty texts and items match nothing; repeated rows give repeated rows; rows without doc_id keep a null one; an empty table on
     either side gives no rows; other columns are not read.

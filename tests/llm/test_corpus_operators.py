@@ -140,6 +140,14 @@ def test_benchmark_windows(spark):
     assert d.keep_unleaked(docs(spark, rows), spark_items).count() == len(rows) - len({i for i, _ in want})
 
 
+def test_benchmark_item_longer_than_the_text(spark):
+    from codeatlas.llm import decontaminate as d
+    item = text("long", 40).split()
+    rows = [(1, " ".join(item[:38])), (2, " ".join(item[1:39])), (3, " ".join(item[:30])), (4, " ".join(item))]
+    got = {r.doc_id: (r.similarity, r.n_words) for r in d.find_leaks(docs(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (34 / 36, 38), 2: (34 / 36, 38), 4: (1.0, 40)}
+
+
 def test_pieces_equal_the_reference_library(spark):
     from codeatlas.llm import pieces as p
     tool = sentencepiece.SentencePieceProcessor(model_file=p.default_model())
