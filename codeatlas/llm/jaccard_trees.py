@@ -243,9 +243,14 @@ def _across(texts: DataFrame, large: DataFrame, links: DataFrame, k: int, percen
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """Documents without near copies: of each component the smallest doc_id stays, once. Rows without doc_id stay."""
+    """Documents without near copies: of each component the smallest doc_id stays, once. Rows without doc_id stay.
+
+    A doc_id with different texts keeps each of them once, also one that has a near copy, so no text is lost with another one's component.
+    """
+    known = docs.where("doc_id IS NOT NULL").withColumn("_x", F.xxhash64("text"))
+    shared = known.groupBy("doc_id").agg(F.min("_x").alias("low"), F.max("_x").alias("high")).where("low <> high").select("doc_id")
     drop = jaccard_components(docs, **settings).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    kept = known.join(drop.join(shared, "doc_id", "left_anti"), "doc_id", "left_anti").dropDuplicates(["doc_id", "_x"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -148,6 +148,16 @@ def test_benchmark_item_longer_than_the_text(spark):
     assert got == {1: (34 / 36, 38), 2: (34 / 36, 38), 4: (1.0, 40)}
 
 
+def test_lines_of_texts_sharing_a_doc_id(spark):
+    from codeatlas.llm import jaccard_trees
+    from codeatlas.llm import line_dedup as d
+    rows = [(1, f"{text(1, 20)}\n{text(2, 20)}"), (2, f"{text(1, 20)}\n{text(3, 20)}"), (2, f"{text(4, 20)}\n{text(5, 20)}")]
+    got = sorted(r.text for r in d.drop_repeated_lines(docs(spark, rows)).collect())
+    assert got == sorted([rows[0][1], text(3, 20), rows[2][1]])
+    kept = jaccard_trees.keep_one(docs(spark, [*rows[1:], rows[1], (3, rows[1][1]), (4, rows[0][1])]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([*rows[1:], (4, rows[0][1])])
+
+
 def test_pieces_equal_the_reference_library(spark):
     from codeatlas.llm import pieces as p
     tool = sentencepiece.SentencePieceProcessor(model_file=p.default_model())
