@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, huffman_ids, jaccard_trees, line_dedup, piecewise, pieces, pseudonyms, secrets, toxicity, url_filter
+from . import (decontaminate, huffman_ids, jaccard_trees, line_dedup, periodic_runs, piecewise, pieces, pseudonyms, rank_queue, secrets, spelling, toxicity,
+               url_filter)
 
 QUERIES = {
     "op1_toxic_grammar": toxicity.op1,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_benchmark_windows": decontaminate.op8,
     "op9_piece_ids": pieces.op9,
     "op10_url_filter": url_filter.op10,
+    "op11_rank_queue_bpe": rank_queue.op11,
+    "op12_periodic_runs": periodic_runs.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 ORACLES = {
     "op3_secret_automaton": secrets.ORACLE_SQL,
