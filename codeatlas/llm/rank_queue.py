@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, text_blocks
 
-KEPT, KEPT_CHARS = 1 << 17, 32   # how many encodings a generation of a worker's memory holds, and of pieces how long
+KEPT, KEPT_CHARS = 1 << 18, 32   # how many encodings a generation of a worker's memory holds (about 200 bytes each), and of pieces how long
 
 
 class RankQueue:
@@ -83,69 +83,73 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.queue = RankQueue(len(self.tokens))
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece: a whole token as it is, else the leftmost pair of lowest rank is merged until none is left."""
-        ranks, n = self.ranks, len(piece)
-        if piece in ranks:
-            return [ranks[piece]]
-        queue = self.queue
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        waits = array("q", [-1]) * n   # the rank under which the pair that begins here waits; -1: none
+        rank_of, n = self.ranks.get, len(piece)
+        if (whole := rank_of(piece)) is not None:
+            return [whole]
+        push, buckets, first = self.queue.push, self.queue.buckets, self.queue.first
+        after, before = array("q", range(1, n + 2)), array("q", range(-1, n))   # the place n ends the list
+        waits = array("q", [-1]) * (n + 1)   # the rank under which the pair that begins here waits; -1: none
         for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
-            if rank is not None:
+            if (rank := rank_of(piece[i:i + 2])) is not None:
                 waits[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            bucket, lowest = queue.buckets[rank], rank
+                push(rank, i)
+        while (rank := first()) >= 0:
+            bucket, lowest = buckets[rank], rank
             while bucket and lowest == rank:   # a merge can make a pair of lower rank, which then goes first
                 i = heappop(bucket)
                 if waits[i] != rank:
                     continue   # stale: a neighbour was merged since
                 middle = after[i]
-                end = after[middle]
-                after[i] = end
-                waits[i] = waits[middle] = -1
-                pairs = [before[i], i] if before[i] >= 0 else [i]
-                if end < n:
-                    before[end] = i
+                after[i] = end = after[middle]
+                before[end] = i
+                waits[middle] = -1
+                if end < n and (new := rank_of(piece[i:after[end]])) is not None:
+                    waits[i] = new
+                    push(new, i)
+                    if new < lowest:
+                        lowest = new
                 else:
-                    pairs.pop()
-                for k in pairs:
-                    new = ranks.get(piece[k:after[after[k]]], -1)
-                    waits[k] = new
-                    if new >= 0:
-                        queue.push(new, k)
-                        lowest = min(lowest, new)
+                    waits[i] = -1
+                left = before[i]
+                if left >= 0:
+                    if (new := rank_of(piece[left:end])) is not None:
+                        waits[left] = new
+                        push(new, left)
+                        if new < lowest:
+                            lowest = new
+                    else:
+                        waits[left] = -1
             if not bucket:
-                queue.emptied(rank)
+                self.queue.emptied(rank)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i:after[i]]])
+            out.append(rank_of(piece[i:after[i]]))
             i = after[i]
         return out
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         """The ids of a piece that ``kept`` lacks. Short ones are kept in two generations, so that frequent ones stay and memory is bounded."""
         ids = self.older.get(piece)
         if ids is None:
-            ids = tuple(self.merge(piece.encode()))
+            ids = array("I", self.merge(piece.encode())).tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self.kept) >= KEPT:
                 self.older, self.kept = self.kept, {}
             self.kept[piece] = ids
         return ids
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a text; pieces are taken one after another, so only the ids grow with it."""
-        out = array("I")
+        out = bytearray()
         for match in self.pattern.finditer(text):
             piece = match.group()
-            out.extend(self.kept.get(piece) or self._piece(piece))
-        return out
+            out += self.kept.get(piece) or self._piece(piece)
+        return np.frombuffer(out, np.uint32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -166,7 +170,7 @@ def encode_bytes(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = load(ranks, pattern)
         for part, texts in text_blocks(batches):
-            ids = [np.frombuffer(tool.encode(t or ""), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
+            ids = [tool.encode(t or "") for t in texts]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))], ["doc_id", "ids"])
 
