@@ -31,8 +31,8 @@ def progress(t):
         f"CASE WHEN event_type = 'purchase' THEN 'result' ELSE 'assistant' END, '\", \"message\": {{\"content\": ', {blocks}, '}}, \"is_error\": ', event_id % 3 = 0, "
         "', \"finished\": ', event_id % 7, ', \"total\": 7}') END AS value").repartition(4).write.text(folder)
     stream = jobs.file_stream(t.spark, folder, "value STRING", "text", "*.txt", per_batch=2)
-    out = jobs.run_available(jobs.progress(stream), scratch(t, "progress"))
-    return t.spark.read.parquet(out).withColumn("elapsed", F.col("elapsed").cast("bigint"))
+    out = jobs.run_available(stream, scratch(t, "progress"), jobs.progress_parts)
+    return jobs.progress_of(jobs.read_parts(t.spark, out, jobs.merge_progress)).withColumn("elapsed", F.col("elapsed").cast("bigint"))
 
 
 @query("l2_incremental_map", "base head", """
@@ -40,15 +40,16 @@ def progress(t):
     h AS (SELECT regexp_replace(path, '/[^/]*$', '') AS slice, count(*) AS n, bit_xor(hash(path || sha)) AS h FROM head GROUP BY 1)
     SELECT slice, count(*) AS records FROM (SELECT * FROM b UNION SELECT * FROM h) GROUP BY slice""")
 def incremental_map(t):
-    """Two revisions arrive, then both once more: the cache holds one record per distinct slice content."""
-    folder, cache = scratch(t, "files"), scratch(t, "cache")
-    for rev, df in (("base", t.base), ("head", t.head)):
-        df.selectExpr(f"'{rev}' AS rev", f"{S.folder_of('path')} AS slice", "path", "sha").coalesce(1).write.mode("append").parquet(folder)
+    """Two revisions arrive in pieces of both, then everything once more: the cache holds one record per distinct slice content."""
+    folder, cache, checkpoint = scratch(t, "files"), scratch(t, "cache"), scratch(t, "checkpoint")
+    both = [df.selectExpr(f"'{rev}' AS rev", f"{S.folder_of('path')} AS slice", "path", "sha") for rev, df in (("base", t.base), ("head", t.head))]
+    rows = jobs.listing(both[0].unionByName(both[1]))
     mapper = lambda fresh: fresh.withColumn("record", F.concat(F.lit("part "), "slice"))
     for _ in range(2):
-        stream = jobs.file_stream(t.spark, folder, "rev STRING, slice STRING, path STRING, sha STRING", "parquet", "*.parquet")
-        jobs.incremental_map(stream, cache, mapper, scratch(t, "checkpoint"))
-    return t.spark.read.parquet(cache).groupBy("slice").agg(F.count("*").alias("records"))
+        rows.repartition(4, F.xxhash64("path")).write.mode("append").parquet(folder)
+        stream = jobs.file_stream(t.spark, folder, "rev STRING, slice STRING, path STRING, sha STRING, files BIGINT", "parquet", "*.parquet", per_batch=2)
+        jobs.incremental_map(stream, cache, mapper, checkpoint)
+    return jobs.records(t.spark, cache).groupBy("slice").agg(F.count("*").alias("records"))
 
 
 @query("l3_retain", "", """
@@ -67,4 +68,5 @@ def retain(t):
 def reviewed_state(t):
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).selectExpr("event_type AS rev", "concat('fn', user_id) AS id")
-    return t.spark.read.parquet(jobs.run_available(jobs.reviewed_state(stream), scratch(t, "marks")))
+    out = jobs.run_available(stream, scratch(t, "marks"), jobs.toggle_parts)
+    return jobs.reviewed_of(jobs.read_parts(t.spark, out, jobs.merge_toggles))
