@@ -2,28 +2,62 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"   # without the line feed
+
+
+def below(root: str, place: str = "_metadata.file_path") -> str:
+    """SQL: a file's path relative to ``root``. Needs the file's metadata only, so a filter on it is decided when folders are listed."""
+    start = "/" + re.sub(r"^[A-Za-z][\w+.-]*:/*", "", root).strip("/") + "/"
+    plain = f"url_decode(replace({place}, '+', '%2B'))"
+    return f"substring({plain}, instr({plain}, {S.text(start)}) + {len(start)})"
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: path relative to it, size, blob hash, content; ignored folders left out.
+    """Files below ``root``: path relative to it, size, blob hash, content; files in ignored folders are listed but never opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return (raw.where(f"NOT {S.is_ignored(below(root))}")
+            .select(F.expr(below(root)).alias("path"), F.col("length").alias("size"), blob_sha(F.col("content")).alias("sha"), "content"))
 
-    The folder filter needs only the path, so it runs on file metadata before contents are hashed.
+
+def read_lines(spark: SparkSession, root: str, probe: int = 8000) -> DataFrame:
+    """(path, line_no, text) of every text file below ``root``, as ``explode_lines`` gives them, without holding a file in a cell: a large file
+    is read in blocks by many tasks, lines are numbered inside blocks and shifted by the counts of earlier ones. One line must fit a task.
+
+    Rows end at line feeds; what other line breaks a row holds divides it further. Files with a NUL byte near the start yield no lines.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    start = root.rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), start, -1)
-    return (raw.select(relative.alias("path"), "length", "content")
-            .where(f"NOT {S.is_ignored('path')}")
-            .select("path", F.col("length").alias("size"), blob_sha(F.col("content")).alias("sha"), "content"))
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root).where(f"NOT {S.is_ignored(below(root))}")
+    rows = raw.selectExpr(f"{below(root)} AS path", "_metadata.file_block_start AS _block", "_metadata.file_size AS _size", "value AS _row",
+                          "monotonically_increasing_id() AS _id", "cast(octet_length(value) + 1 AS BIGINT) AS _bytes")   # ids rise along a block
+    pieces = lambda row: f"split({row}, {S.text(OTHER_BREAK)})"
+    # A line feed takes a carriage return before it along; a last row without line feed keeps its own and adds no empty line behind it.
+    fed = r"regexp_replace(_row, '\\r\\z', '')"
+    split_row = rows.withColumn("_lines", F.expr(pieces(fed)))
+    block = split_row.groupBy("path", "_block").agg(F.sum(F.size("_lines")).alias("_n"), F.sum("_bytes").alias("_b"), F.max("_size").alias("_size"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)   # a row a block, not a line
+    whole = Window.partitionBy("path")
+    shifts = block.select("path", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"), F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_start"),
+                          (F.sum("_b").over(whole) > F.col("_size")).alias("_open"), (F.max("_block").over(whole) == F.col("_block")).alias("_last"))
+    inside = Window.partitionBy("path", "_block").orderBy("_id")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = (split_row.withColumn("_line", F.coalesce(F.sum(F.size("_lines")).over(before), F.lit(0)))
+              .withColumn("_at", F.coalesce(F.sum("_bytes").over(before), F.lit(0))).withColumn("_end", F.lead("_id").over(inside).isNull())
+              .join(shifts, ["path", "_block"]).withColumn("_at", F.col("_at") + F.col("_start")))
+    marked = placed.withColumn("_nul", F.expr(f"_at < {probe} AND instr(left(_row, {probe} - _at), '\0') > 0"))
+    binary = marked.where("_nul").select("path").distinct()
+    kept = F.expr("CASE WHEN _open AND _last AND _end THEN " + S.bind(pieces("_row"), "ls", "CASE WHEN size(ls) > 1 AND element_at(ls, -1) = '' THEN "
+                                                                      "slice(ls, 1, size(ls) - 1) ELSE ls END") + " ELSE _lines END")
+    return (marked.join(binary, "path", "left_anti").select("path", "_shift", "_line", F.posexplode(kept).alias("_k", "text"))
+            .select("path", (F.col("_shift") + F.col("_line") + F.col("_k") + 1).cast("int").alias("line_no"), "text"))
 
 
 def blob_sha(content):

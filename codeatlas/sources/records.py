@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -34,45 +32,47 @@ def parts_from_json(raw: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame,
     return parts, rejected
 
 
-def _salvage(text: str) -> list[dict]:
-    """Every object of a malformed text that parses on its own and looks like a part."""
-    decoder, found, at = json.JSONDecoder(), [], text.find("{")
-    while at >= 0:
-        after = at + 1
-        try:
-            value, stop = decoder.raw_decode(text, at)
-        except ValueError:
-            pass
-        else:
-            if value.get("id") and value.get("path"):
-                found.append(value)
-                after = stop
-        at = text.find("{", after)
-    return found
+# a stretch of a text up to and with its next quote, brace or backslash; a backslash takes a quote or backslash behind it along
+_TOKEN = r"""[^{}"\\]+(?:\\["\\]|[{}"\\])?|\\["\\]|[{}"\\]"""
+
+
+def braced(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, raw, _start, _stop): each opening brace of the texts (keys, raw; distinct rows) with the brace that closes it, places from 1.
+
+    Braces inside strings do not count, and what is a string depends on where reading starts: behind an even or an odd number of quotes. So there are
+    two readings of a text; the braces of each nest by themselves, and a brace is closed by the next one of its reading at its depth.
+    """
+    parts = texts.select(*keys, "raw", F.posexplode(F.regexp_extract_all("raw", F.lit(_TOKEN), F.lit(0))).alias("_k", "_token"))
+    one = [*keys, F.xxhash64("raw")]
+    so_far = Window.partitionBy(*one).orderBy("_k")
+    escaped = r"""_token rlike '\\\\["\\\\]\\z'"""
+    marks = parts.withColumn("_mark", F.expr(f"CASE WHEN {escaped} THEN '' ELSE right(_token, 1) END")).withColumn(
+        "_at", F.sum(F.length("_token")).over(so_far)).withColumn("_reading", F.count_if(F.expr("_mark = '\"'")).over(so_far) % 2)
+    braces = marks.where("_mark IN ('{', '}')")
+    depth = F.sum(F.expr("CASE _mark WHEN '{' THEN 1 ELSE -1 END")).over(Window.partitionBy(*one, "_reading").orderBy("_k"))
+    level = braces.withColumn("_level", depth + F.expr("CASE _mark WHEN '}' THEN 1 ELSE 0 END"))
+    closing = F.lead("_at").over(Window.partitionBy(*one, "_reading", "_level").orderBy("_k"))
+    return level.withColumn("_stop", closing).where("_mark = '{' AND _stop IS NOT NULL").select(*keys, "raw", F.col("_at").alias("_start"), "_stop")
 
 
 def salvage_parts(raw: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Part records of reply texts (keys, raw). Text around the outermost braces is ignored. Replies that parse
-    stay in the JVM; only the broken ones go through Python, where each part that parses by itself is kept."""
+    """Part records of reply texts (keys, raw). Text around the outermost braces is ignored. Of a reply that does not parse, every object is
+    kept that parses by itself, has an id and a path, and does not begin inside one kept before."""
     body = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
-    parsed = raw.select(*keys, "raw", F.from_json(body, f"{schemas.PARTS_FILE[:-1]}, _bad: STRING>",
+    parsed = raw.select(*keys, "raw", body.alias("_body"), F.from_json(body, f"{schemas.PARTS_FILE[:-1]}, _bad: STRING>",
                                                   {"columnNameOfCorruptRecord": "_bad"}).alias("doc"))
-    good = (parsed.where("doc._bad IS NULL").select(*keys, F.posexplode("doc.parts").alias("pos", "part"))
+    sound = "doc._bad IS NULL AND coalesce(try_parse_json(concat('[', _body, ']')) IS NOT NULL, false)"   # in brackets: nothing may follow the object
+    good = (parsed.where(sound).select(*keys, F.posexplode("doc.parts").alias("pos", "part"))
             .select(*keys, "pos", "part.*"))
     columns = [f.name for f in good.schema.fields if f.name not in (*keys, "pos")]
-
-    def salvage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(*key, i, json.dumps(part))
-                    for key, text in zip(batch[list(keys)].itertuples(index=False, name=None), batch["raw"])
-                    for i, part in enumerate(_salvage(text))]
-            yield pd.DataFrame(rows, columns=[*keys, "pos", "part"])
-
-    key_types = ", ".join(f"`{k}` {raw.schema[k].dataType.simpleString()}" for k in keys)
-    kept = (parsed.where("doc._bad IS NOT NULL").select(*keys, "raw")
-            .mapInPandas(salvage, f"{key_types}, pos INT, part STRING")
-            .select(*keys, "pos", F.from_json("part", schemas.PART).alias("part")).select(*keys, "pos", "part.*"))
-    return good.select(*keys, "pos", *columns).unionByName(kept.select(*keys, "pos", *columns))
+    broken = parsed.where(f"NOT ({sound})").groupBy(*keys, "raw").agg(F.count("*").cast("int").alias("_copies"))
+    texts = braced(broken, keys).withColumn("_text", F.expr("substring(raw, _start, _stop - _start + 1)")).where("try_parse_json(_text) IS NOT NULL")
+    whole = texts.withColumn("_part", F.from_json("_text", schemas.PART)).where("_part.id <> '' AND _part.path <> ''")
+    in_order = whole.groupBy(*keys, "raw").agg(F.array_sort(F.collect_list(F.struct("_start", "_stop", "_part"))).alias("_found"))
+    kept = F.expr("aggregate(_found, slice(_found, 1, 0), (acc, x) -> CASE WHEN x._start > coalesce(try_element_at(acc, -1)._stop, 0) THEN concat(acc, array(x)) ELSE acc END)")
+    salvaged = (in_order.join(broken, [*keys, "raw"]).select(*keys, F.explode(F.expr("sequence(1, _copies)")).alias("_copy"), kept.alias("kept"))
+                .select(*keys, F.posexplode("kept").alias("pos", "x")).select(*keys, "pos", "x._part.*"))
+    return good.select(*keys, "pos", *columns).unionByName(salvaged.select(*keys, "pos", *columns))
 
 
 # ---- flat views of part records --------------------------------------------------------------------
