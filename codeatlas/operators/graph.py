@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import cut, is_empty, together
-from .ordered import bucket_rank
+from .ordered import ranked, running_sum
 
 
 def nodes_of(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,15 +56,29 @@ def routes(edges: DataFrame, entries: DataFrame, reach_of: DataFrame, by: Sequen
     """(trunk, spurs) of each entry (by, line_id, node).
 
     Trunk: from the entry, again and again the unvisited callee reaching most (smallest node on ties).
-    Spurs: along the trunk, every unvisited callee with its own best unvisited callee. One round extends all routes
-    by one station, so a part with many routes is no heavier than one. trunk: (by, line_id, pos, node);
+    Spurs: along the trunk, every unvisited callee with its own best unvisited callee. trunk: (by, line_id, pos, node);
     spurs: (by, line_id, pos, node, second) in drawing order, second may be null.
+
+    The best callee of a function is the same on every trunk until one comes back to itself, so trunks are drawn by doubled jumps along best
+    callees: rounds grow with the logarithm of their length. Only trunks that met a circle go on station by station, past what they visited.
     """
     key = [*by, "line_id"]
     weight = reach_of.select(*by, F.col("node").alias("dst"), "reach")
     e = cut(edges.where("src <> dst").select(*by, "src", "dst").distinct().join(weight, [*by, "dst"]), "callees")
-    last = cut(entries.select(*key, F.lit(0).alias("pos"), "node"), "trunk")
-    trunk = [last]
+    jump = cut(e.groupBy(*by, F.col("src").alias("node")).agg(F.expr("min_by(dst, struct(-reach, dst))").alias("to")), "jump")
+    trunk, span = [cut(entries.select(*key, F.lit(0).alias("pos"), "node"), "trunk")], 1
+    while True:
+        known = together(trunk)
+        ahead = known.join(jump, [*by, "node"]).select(*key, (F.col("pos") + span).alias("pos"), F.col("to").alias("node"))
+        new = cut(ahead.groupBy(*key, "node").agg(F.min("pos").alias("pos")).join(known.select(*key, "node"), [*key, "node"], "left_anti")
+                  .select(*key, "pos", "node"), "trunk")
+        if is_empty(new):
+            break
+        trunk.append(new)
+        on = jump.select(*by, F.col("node").alias("to"), F.col("to").alias("_to"))
+        jump = cut(jump.join(on, [*by, "to"]).select(*by, "node", F.col("_to").alias("to")), "jump")
+        span *= 2
+    last = together(trunk).groupBy(*key).agg(F.max_by("node", "pos").alias("node"), F.max("pos").alias("pos"))
     while True:
         seen = together(trunk).select(*key, F.col("node").alias("dst"))
         nxt = (last.withColumnRenamed("node", "src").join(e, [*by, "src"]).join(seen, [*key, "dst"], "left_anti")
@@ -142,70 +155,24 @@ def flow_roots(functions: DataFrame, calls: DataFrame, by: Sequence[str] = ()) -
     roots = entry_class(functions).join(called, [*by, "fn_id"], "left_anti")
     counts = reach_count(calls, by).withColumnRenamed("node", "fn_id")
     r = roots.join(counts, [*by, "fn_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(1)))
-    ranked = bucket_rank(r, by, ["entry", "-reach", "left(file, 24)"], ["entry", "-reach", "file", "start", "fn_id"])
-    return ranked.select(*by, "fn_id", "entry", "reach", "rank")
-
-
-_WALKED = "fn_id {t}, depth INT, via {t}, pos BIGINT"
-
+    in_order = ranked(r, by, ["entry", "-reach", "file", "start", "fn_id"])
+    return in_order.select(*by, "fn_id", "entry", "reach", "rank")
 
-def _walk(functions: pd.DataFrame, calls: pd.DataFrame) -> list[tuple]:
-    """Depth-first rows (fn_id, depth, via, pos) of one review, functions in starting order, calls in source order."""
-    targets = calls.sort_values(["pos", "dst"]).groupby("src")["dst"].apply(list).to_dict()
-    rows, seen = [], set()
-    for start in functions["fn_id"]:
-        todo = [(start, 0, None)]
-        while todo:
-            node, depth, via = todo.pop()
-            if node not in seen:
-                seen.add(node)
-                rows.append((node, depth, via, len(rows)))
-                todo += [(n, depth + 1, node) for n in reversed(targets.get(node, [])) if n not in seen]
-    return rows
 
-
-def flow_order(functions: DataFrame, calls: DataFrame, roots: DataFrame, by: Sequence[str] = (), small: int = 50_000) -> DataFrame:
+def flow_order(functions: DataFrame, calls: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, fn_id, depth, via, pos): every function once, depth first along calls from the roots, then the rest by place;
-    ``depth`` and ``via`` (the caller that first reaches it), ``pos`` the reading position. calls: (src, dst, pos).
-
-    Reviews of up to ``small`` functions and calls are walked one per task; larger ones by ``walk_by_levels``.
-    """
-    scope = list(by) or ["_all"]
-    tag = lambda df: df if by else df.withColumn("_all", F.lit(1))
-    size = tag(functions).groupBy(*scope).agg(F.count("*").alias("a")).join(
-        tag(calls).groupBy(*scope).agg(F.count("*").alias("b")), scope, "left")
-    large = cut(size.where(f"a + coalesce(b, 0) > {small}").select(*scope), "large")
-    ranked = tag(functions).join(tag(roots).select(*scope, "fn_id", F.col("rank").alias("_root")), [*scope, "fn_id"], "left")
-    edges = tag(calls).where("src <> dst").groupBy(*scope, "src", "dst").agg(F.min("pos").alias("pos"))
-    f, c = (df.join(large, scope, "left_anti") for df in (ranked.select(*scope, "fn_id", "file", "start", "_root"), edges))
-    kinds = ", ".join(f"`{k}` {f.schema[k].dataType.simpleString()}" for k in scope)
-
-    def walk(key: tuple, fns: pd.DataFrame, called: pd.DataFrame) -> pd.DataFrame:
-        order = fns.assign(_late=fns["_root"].isna()).sort_values(["_late", "_root", "file", "start", "fn_id"])
-        out = pd.DataFrame([(*key, *r) for r in _walk(order, called)], columns=[*scope, "fn_id", "depth", "via", "pos"])
-        return out.astype({"via": "Int64"}) if pd.api.types.is_integer_dtype(fns["fn_id"]) else out
-
-    one = _WALKED.format(t=functions.schema["fn_id"].dataType.simpleString())
-    done = f.groupBy(*scope).cogroup(c.groupBy(*scope)).applyInPandas(walk, f"{kinds}, {one}")
-    if not is_empty(large):
-        keep = lambda df: tag(df).join(large, scope, "left_semi")
-        done = done.unionByName(walk_by_levels(keep(functions), keep(calls), keep(roots), scope).select(*done.columns))
-    return done.select(*by, "fn_id", "depth", "via", "pos")
-
-
-def walk_by_levels(functions: DataFrame, calls: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The walk of ``flow_order`` without gathering a review: for reviews of any size.
+    ``depth`` and ``via`` (the caller that first reaches it), ``pos`` the reading position. calls: (src, dst, pos), pos = order of the calls in src.
 
     A depth-first walk visits below its first child everything reachable from it, below the next one what is left,
     and so on: so one level of the walk is a smallest-label propagation, done for all subtrees of all reviews at
     once, restricted to each subtree without its top. Levels repeat to the depth of the walk. Nothing is gathered:
-    a review of any size is spread over all tasks. calls: (src, dst, pos), pos = order of the calls in src.
+    a review of any size is spread over all tasks, and subtrees are numbered in buckets of their order.
     """
     fns = functions.select(*by, "fn_id", "file", "start")
-    ranked = fns.join(roots.select(*by, "fn_id", F.col("rank").alias("_root")), [*by, "fn_id"], "left")
+    placed_first = fns.join(roots.select(*by, "fn_id", F.col("rank").alias("_root")), [*by, "fn_id"], "left")
     edges = cut(calls.where("src <> dst").groupBy(*by, "src", "dst").agg(F.min("pos").alias("pos")), "calls")
     # level 0: every function is a child of the review itself; roots come first, then places
-    first = ranked.select(*by, "fn_id", F.struct(F.col("_root").isNull().alias("a"), F.coalesce("_root", F.lit(0)).alias("b"),
+    first = placed_first.select(*by, "fn_id", F.struct(F.col("_root").isNull().alias("a"), F.coalesce("_root", F.lit(0)).alias("b"),
                                                  "file", "start", F.col("fn_id").alias("id")).alias("label"))
     group = cut(first.select(*by, F.lit(None).cast(functions.schema["fn_id"].dataType).alias("top"),
                              F.lit(0).cast("bigint").alias("offset"), "fn_id", "label"), "level")
@@ -221,8 +188,11 @@ def walk_by_levels(functions: DataFrame, calls: DataFrame, roots: DataFrame, by:
         # the owner of a label is the child that carries it; its subtree starts after the earlier ones'
         # (the tops of a level are numbered per top by counting, label by label)
         sizes = claimed.groupBy(*by, "top", "offset", "label").agg(F.count("*").alias("size"))
-        before = Window.partitionBy(*by, "top").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-        placed = cut(sizes.withColumn("start_at", F.col("offset") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+        # coarser than the labels and never falling along them: roots and calls have a number each, the rest only a place
+        bucket = F.struct("label.a", F.expr("label.b div 1024"), F.expr("if(label.a, coalesce(left(label.file, 24), ''), '')"))
+        summed = running_sum(sizes.withColumn("_bucket", bucket).withColumn("_top", F.coalesce(F.col("top").cast("string"), F.lit(""))),
+                             [*by, "_top"], "_bucket", ["label"], "size", "upto")
+        placed = cut(summed.withColumn("start_at", F.col("offset") + F.col("upto") - F.col("size"))
                      .select(*by, "top", "label", "start_at", F.col("label.id").alias("owner")), "placed")
         out.append(placed.select(*by, F.col("owner").alias("fn_id"), F.lit(depth).alias("depth"), F.col("top").alias("via"),
                                  F.col("start_at").alias("pos")))
@@ -237,48 +207,101 @@ def walk_by_levels(functions: DataFrame, calls: DataFrame, roots: DataFrame, by:
             return together(out)
 
 
+Pass = list[tuple[DataFrame, DataFrame, DataFrame]]
+
+
+def eliminate(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> tuple[Pass, DataFrame, bool]:
+    """Takes the nodes of a graph away in rounds, so that longest paths and ways between those left stay as they were.
+
+    A node with one edge in or one out can go if its neighbours' edges are joined: their number does not grow. In a round all nodes without
+    edges in go, and of the others with at most one on a side those that come before their neighbours in a random order. So rounds are never more than the
+    longest path has nodes, and on chains, trees and rings they grow with the logarithm of the size.
+
+    Returns the rounds as (nodes (by, node, base), edges in (by, node, other, w), edges out), base being the longest path that ends there among
+    nodes taken before; the edges left, between nodes with two or more on both sides; and whether a circle was met.
+    """
+    e = cut(edges.where("src <> dst").select(*by, "src", "dst").distinct().withColumn("w", F.lit(1)), "edges")
+    left = cut(nodes.select(*by, "node", F.lit(0).alias("base")), "nodes")
+    rounds, made = [], []
+    while True:
+        into = e.groupBy(*by, F.col("dst").alias("node")).agg(F.count("*").alias("_in"))
+        outof = e.groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("_out"))
+        able = left.join(into, [*by, "node"], "left").join(outof, [*by, "node"], "left").where("_in IS NULL OR _in = 1 OR coalesce(_out, 0) <= 1").select(
+            *by, "node", "base", F.struct(F.col("_in").isNotNull().alias("a"), F.xxhash64("node", F.lit(len(rounds))).alias("h"), "node").alias("turn"))
+        able = cut(able, "able")
+        ends = lambda side: able.select(*by, F.col("node").alias(side), F.col("turn").alias(f"_{side}"))
+        late = e.join(ends("src"), [*by, "src"]).join(ends("dst"), [*by, "dst"]).select(*by, F.greatest("_src", "_dst").alias("turn")).select(
+            *by, "turn.node").distinct()
+        gone = cut(able.drop("turn").join(late, [*by, "node"], "left_anti"), "gone")
+        if is_empty(gone):
+            return rounds, e, bool(made) and not is_empty(together(made).where("src = dst"))
+        ins = e.withColumnRenamed("dst", "node").join(gone.select(*by, "node"), [*by, "node"], "left_semi").select(*by, "node", F.col("src").alias("other"), "w")
+        outs = e.withColumnRenamed("src", "node").join(gone.select(*by, "node"), [*by, "node"], "left_semi").select(*by, "node", F.col("dst").alias("other"), "w")
+        rounds.append((gone, ins, outs))
+        joined = ins.select(*by, "node", F.col("other").alias("src"), F.col("w").alias("_w")).join(outs, [*by, "node"]).select(
+            *by, "src", F.col("other").alias("dst"), (F.col("_w") + F.col("w")).alias("w"))
+        rest = e.join(gone.select(*by, F.col("node").alias("src")), [*by, "src"], "left_anti").join(gone.select(*by, F.col("node").alias("dst")), [*by, "dst"], "left_anti")
+        made.append(cut(rest.unionByName(joined).groupBy(*by, "src", "dst").agg(F.max("w").alias("w")), "edges"))
+        e = made[-1].where("src <> dst")
+        passed = outs.join(gone, [*by, "node"]).groupBy(*by, F.col("other").alias("node")).agg(F.max(F.col("base") + F.col("w")).alias("_base"))
+        left = cut(left.join(gone.select(*by, "node"), [*by, "node"], "left_anti").join(passed, [*by, "node"], "left").select(
+            *by, "node", F.greatest("base", F.coalesce("_base", F.lit(0))).alias("base")), "nodes")
+
+
+def dense_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, node, component): strongly connected components, named by a node of them. Every node takes the smallest node that reaches it, what also
+    reaches that node is its component, and the rest goes on; many components are found in each round."""
+    found, e = [], cut(edges.select(*by, "src", "dst"), "core")
+    left = cut(nodes_of(e, by), "core-nodes")
+    while not is_empty(left):
+        label = cut(min_label(e, left.withColumn("label", F.col("node")), by), "colour")
+        side = lambda s: label.select(*by, F.col("node").alias(s), F.col("label").alias(f"_{s}"))  # noqa: E731, B023
+        inner = e.join(side("src"), [*by, "src"]).join(side("dst"), [*by, "dst"]).where("_src = _dst").select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = min_label(cut(inner, "inner"), label.where("node = label"), by)
+        found.append(cut(back.select(*by, "node", F.col("label").alias("component")), "component"))
+        rest = lambda df, s: df.join(found[-1].select(*by, F.col("node").alias(s)), [*by, s], "left_anti")
+        left = cut(rest(left, "node"), "core-nodes")
+        e = cut(rest(rest(e, "src"), "dst"), "core")
+    return together(found)
+
+
+def strong_components(rounds: Pass, core: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, node, component) from the rounds of ``eliminate``: the core's components first, then the nodes taken last to first. A node belongs to the
+    component that holds one of its neighbours on each side, else it stands alone."""
+    parts = [] if is_empty(core) else [dense_components(core, by)]
+    for gone, ins, outs in reversed(rounds):
+        alone = gone.select(*by, "node", F.col("node").alias("component"))
+        if parts:
+            known = together(parts).withColumnRenamed("node", "other")
+            side = lambda df: df.join(known, [*by, "other"]).select(*by, "node", "component").distinct()  # noqa: E731, B023
+            both = side(ins).join(side(outs), [*by, "node", "component"])
+            alone = gone.select(*by, "node").join(both, [*by, "node"], "left").select(*by, "node", F.coalesce("component", "node").alias("component"))
+        parts.append(cut(alone, "parts"))
+    return together(parts)
+
+
 def dag_levels(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, node, level): the longest path from the roots. Edges whose ends reach each other are dropped first.
 
-    Sources are peeled round by round; a node leaves when all its callers have, and the round is its level. What
-    cannot be peeled is on or behind a cycle; only then are mutual edges looked for, among the nodes left.
+    The graph is taken apart by ``eliminate`` and levels are set from the nodes taken last to the first. Only if a circle was met, strongly connected
+    components are looked for, and the graph without the edges inside them is taken apart again.
     """
     e = cut(edges.where("src <> dst").select(*by, "src", "dst").distinct(), "edges")
-    left = cut(nodes_of(edges, by), "nodes")
-    found, level, checked = [], 0, False
-    while not is_empty(left):
-        blocked = e.join(left.withColumnRenamed("node", "src"), [*by, "src"], "left_semi").select(*by, F.col("dst").alias("node")).distinct()
-        free = cut(left.join(blocked, [*by, "node"], "left_anti"), "peel")
-        if is_empty(free):
-            if checked:
-                raise RuntimeError("cycle left after mutual edges were dropped")
-            inner = cut(e.join(left.withColumnRenamed("node", "src"), [*by, "src"], "left_semi")
-                        .join(left.withColumnRenamed("node", "dst"), [*by, "dst"], "left_semi"), "core")
-            back = reach(inner, by=by).select(*by, F.col("src").alias("dst"), F.col("node").alias("src"))
-            mutual = inner.join(back, [*by, "src", "dst"], "left_semi")
-            e, checked = cut(e.join(mutual, [*by, "src", "dst"], "left_anti"), "edges"), True
-            continue
-        found.append(free.withColumn("level", F.lit(level)))
-        left = cut(left.join(free, [*by, "node"], "left_anti"), "left")
-        level += 1
-    if not checked:
-        return together(found)
-    # after dropping edges, peeled rounds no longer equal path lengths for nodes freed late: take longest paths again
-    return longest_paths(e, together(found).select(*by, "node"), by)
-
-
-def longest_paths(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, node, level) on an acyclic graph: levels rise along edges until nothing changes."""
-    e = edges.select(*by, F.col("src").alias("node"), F.col("dst").alias("_next"))
-    level = cut(nodes.select(*by, "node", F.lit(0).alias("level")), "levels")
-    frontier = level
-    while True:
-        offer = frontier.join(e, [*by, "node"]).groupBy(*by, F.col("_next").alias("node")).agg((F.max("level") + 1).alias("_offer"))
-        better = cut(offer.join(level, [*by, "node"]).where("_offer > level").select(*by, "node", F.col("_offer").alias("level")), "levels")
-        if is_empty(better):
-            return level
-        level = cut(level.unionByName(better).groupBy(*by, "node").agg(F.max("level").alias("level")), "levels")
-        frontier = better
+    nodes = cut(nodes_of(e, by), "nodes")
+    rounds, core, circle = eliminate(e, nodes, by)
+    if circle or not is_empty(core):
+        part = strong_components(rounds, core, by)
+        side = lambda s: part.select(*by, F.col("node").alias(s), F.col("component").alias(f"_{s}"))
+        open_ = e.join(side("src"), [*by, "src"]).join(side("dst"), [*by, "dst"]).where("_src <> _dst").select(*by, "src", "dst")
+        rounds, _, _ = eliminate(open_, nodes, by)
+    levels = []
+    for gone, ins, _ in reversed(rounds):
+        at = gone.select(*by, "node", F.col("base").alias("level"))
+        if levels:
+            offers = ins.join(together(levels).withColumnRenamed("node", "other"), [*by, "other"]).groupBy(*by, "node").agg(F.max(F.col("level") + F.col("w")).alias("_level"))
+            at = at.join(offers, [*by, "node"], "left").select(*by, "node", F.greatest("level", F.coalesce("_level", F.lit(0))).alias("level"))
+        levels.append(cut(at, "levels"))
+    return together(levels) if levels else nodes.withColumn("level", F.lit(0))
 
 
 def lanes(functions: DataFrame, edges: DataFrame, tops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -319,28 +342,93 @@ def state_levels(transitions: DataFrame, starts: DataFrame, by: Sequence[str] =
 
 
 # ---- commits --------------------------------------------------------------------------------------------
-def merge_base(commits: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, base): the common ancestor of two commits that no other common ancestor descends from (the smallest id when
-    there are several). commits: (sha, parent); pairs: (a, b)."""
+SALTS = 16   # a line with very many edges is read in that many pieces
+
+
+def lines_of(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, node, line, pos): the nodes of an acyclic graph on disjoint lines along its edges. A line is named by its last node; ``pos``
+    counts the nodes behind on the line, so that a node reaches every node of its line with a smaller ``pos``.
+
+    Each node goes on to its smallest dst, and of several that go on to one node the smallest does. Places come from pointer doubling:
+    rounds grow with the logarithm of the longest line. Within a line the nodes so and so many steps on differ, so no key is hot.
+    """
+    one = edges.where("src <> dst").groupBy(*by, "src").agg(F.min("dst").alias("dst")).groupBy(*by, "dst").agg(F.min("src").alias("src"))
+    on = nodes.select(*by, "node").distinct().join(one.select(*by, F.col("src").alias("node"), F.col("dst").alias("line")), [*by, "node"], "left")
+    ends = on.where("line IS NULL").select(*by, "node", F.col("node").alias("line"), F.lit(0).cast("bigint").alias("pos"))
+    done = [cut(ends, "lines")]
+    rest = cut(on.where("line IS NOT NULL").withColumn("pos", F.lit(1).cast("bigint")), "lines")
+    turn = 0
+    while not is_empty(rest):
+        if turn > 62:
+            raise ValueError("the edges form a cycle")
+        known = together(done).withColumn("_end", F.lit(True)).unionByName(rest.withColumn("_end", F.lit(False)))
+        further = known.select(*by, F.col("node").alias("line"), F.col("line").alias("_line"), F.col("pos").alias("_pos"), "_end")
+        step = cut(rest.join(further, [*by, "line"]).select(*by, "node", F.col("_line").alias("line"), (F.col("pos") + F.col("_pos")).alias("pos"), "_end"), "lines")
+        done.append(cut(step.where("_end").drop("_end"), "lines"))
+        rest = step.where("NOT _end").drop("_end")
+        turn += 1
+    return together(done)
+
+
+def line_edges(edges: DataFrame, lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, line, pos, to_line, to_pos): the edges between different lines; those within a line say nothing new."""
+    src = lines.select(*by, F.col("node").alias("src"), "line", "pos")
+    dst = lines.select(*by, F.col("node").alias("dst"), F.col("line").alias("to_line"), F.col("pos").alias("to_pos"))
+    return edges.select(*by, "src", "dst").join(src, [*by, "src"]).join(dst, [*by, "dst"]).where("line <> to_line").select(
+        *by, "line", "pos", "to_line", "to_pos").distinct()
+
+
+def line_reach(crossing: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, seed, line, pos): what each seed reaches, as the highest place on each line; it reaches all lower ones too.
+
+    starts: (by, seed, line, pos). A round follows the edges that leave the newly reached stretches; rounds equal the changes of line on the way,
+    whatever the length of the lines. Rows are seeds times lines reached, not nodes.
+    """
+    step = cut(crossing.withColumn("_salt", F.expr(f"pmod(hash(pos), {SALTS})")).withColumnRenamed("pos", "_from"), "crossing")
+    best = cut(starts.groupBy(*by, "seed", "line").agg(F.max("pos").alias("pos")), "line-reach")
+    new = best.withColumn("_before", F.lit(-1).cast("bigint"))
+    while True:
+        spread = new.withColumn("_salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+        offers = spread.join(step, [*by, "line", "_salt"]).where("_from <= pos AND _from > _before").groupBy(
+            *by, "seed", F.col("to_line").alias("line")).agg(F.max("to_pos").alias("pos"))
+        old = best.select(*by, "seed", "line", F.col("pos").alias("_before"))
+        new = cut(offers.join(old, [*by, "seed", "line"], "left").withColumn("_before", F.coalesce("_before", F.lit(-1).cast("bigint"))).where(
+            "pos > _before").select(*by, "seed", "line", "pos", "_before"), "line-reach")
+        if is_empty(new):
+            return best
+        best = cut(best.unionByName(new.drop("_before")).groupBy(*by, "seed", "line").agg(F.max("pos").alias("pos")), "line-reach")
+
+
+def ancestor_lines(commits: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines, edges between lines, places reached by each a, by each b) for pairs (by, a, b) of commits (by, sha, parent)."""
     edges = commits.select(*by, F.col("sha").alias("src"), F.col("parent").alias("dst")).where("dst IS NOT NULL")
     ends = pairs.select(*by, F.col("a").alias("node")).union(pairs.select(*by, F.col("b"))).distinct()
-    above = cut(reach(edges, ends, by), "ancestors")
-    common = cut(pairs.select(*by, "a", "b").distinct().join(above.select(*by, F.col("src").alias("a"), "node"), [*by, "a"])
-                 .join(above.select(*by, F.col("src").alias("b"), "node"), [*by, "b", "node"]), "common")
-    parents = common.withColumnRenamed("node", "src").join(edges, [*by, "src"]).select(*by, "a", "b", F.col("dst").alias("node")).distinct()
-    # common ancestors are closed under parents, so a lowest one is a common ancestor that is no parent of another
-    lowest = common.join(parents, [*by, "a", "b", "node"], "left_anti")
+    lines = lines_of(edges, nodes_of(edges, by).union(ends), by)
+    crossing = cut(line_edges(edges, lines, by), "crossing")
+    reached = line_reach(crossing, ends.join(lines, [*by, "node"]).withColumnRenamed("node", "seed"), by)
+    side = lambda s: pairs.select(*by, "a", "b").distinct().join(reached.select(*by, F.col("seed").alias(s), "line", F.col("pos").alias(f"{s}_pos")), [*by, s])
+    return lines, crossing, side("a"), side("b")
+
+
+def merge_base(commits: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, base): the common ancestor of two commits that no other common ancestor descends from (the smallest id when
+    there are several). commits: (sha, parent); pairs: (a, b). Histories are read as lines, so a long one takes few rounds."""
+    lines, crossing, a, b = ancestor_lines(commits, pairs, by)
+    common = cut(a.join(b, [*by, "a", "b", "line"]).select(*by, "a", "b", "line", F.least("a_pos", "b_pos").alias("pos")), "common")
+    # On each line the highest common place stands for those below. Common ancestors are closed under parents, so it has a common descendant
+    # only if one is its child, on another line.
+    child = crossing.select(*by, F.col("line").alias("_line"), F.col("pos").alias("_pos"), F.col("to_line").alias("line"), F.col("to_pos").alias("pos"))
+    held = common.select(*by, "a", "b", F.col("line").alias("_line"), F.col("pos").alias("_top"))
+    above = common.join(child, [*by, "line", "pos"]).join(held, [*by, "a", "b", "_line"]).where("_pos <= _top").select(*by, "a", "b", "line").distinct()
+    lowest = common.join(above, [*by, "a", "b", "line"], "left_anti").join(lines, [*by, "line", "pos"])
     return lowest.groupBy(*by, "a", "b").agg(F.min("node").alias("base"))
 
 
 def ahead_behind(commits: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, ahead, behind): commits only below a, and only below b. pairs: (a, b)."""
-    edges = commits.select(*by, F.col("sha").alias("src"), F.col("parent").alias("dst")).where("dst IS NOT NULL")
-    ends = pairs.select(*by, F.col("a").alias("node")).union(pairs.select(*by, F.col("b"))).distinct()
-    above = cut(reach(edges, ends, by), "ancestors")
-    side = lambda s: pairs.select(*by, "a", "b").distinct().join(above.select(*by, F.col("src").alias(s), "node"), [*by, s])
-    both = side("a").withColumn("x", F.lit(1)).unionByName(side("b").withColumn("x", F.lit(2))).groupBy(*by, "a", "b", "node").agg(F.sum("x").alias("x"))
-    return both.groupBy(*by, "a", "b").agg(F.count_if(F.expr("x = 1")).alias("ahead"), F.count_if(F.expr("x = 2")).alias("behind"))
+    """(by, a, b, ahead, behind): commits only below a, and only below b. pairs: (a, b). Counted as lengths of lines, not commit by commit."""
+    _, _, a, b = ancestor_lines(commits, pairs, by)
+    both = a.join(b, [*by, "a", "b", "line"], "full").select(*by, "a", "b", (F.coalesce("a_pos", F.lit(-1)) - F.coalesce("b_pos", F.lit(-1))).alias("_more"))
+    return both.groupBy(*by, "a", "b").agg(F.sum(F.greatest("_more", F.lit(0))).alias("ahead"), F.sum(F.greatest(-F.col("_more"), F.lit(0))).alias("behind"))
 
 
 # ---- flows and steps ------------------------------------------------------------------------------------
@@ -351,8 +439,11 @@ def nest_flows(flows: DataFrame, steps: DataFrame, names: DataFrame, drivers: Da
     flows: (flow, title, trigger, first_actor); steps: (flow, pos); names: (flow, pos, name) what a step calls; drivers:
     (flow, driver). Flow b hangs under the first step (flow order, step order) whose call its trigger names, else
     under the first one landing where b starts; failure flows and steps entering a flow's own driver are out. Flows
-    choose in order and a choice that would close a cycle is skipped, so each round every flow whose earlier
-    siblings have chosen picks its best choice that is still allowed.
+    choose in order, and a choice that would close a cycle with earlier ones is skipped.
+
+    All flows choose at once. Where choices run in a circle, every flow on it but the last in order has chosen rightly (a smaller circle
+    would have to run along the same choices), so the last one's choice is the one to skip, and circles of one round have no flow in common.
+    Rounds equal the longest row of skipped choices, not the number of flows.
     """
     ok = flows.where(f"NOT concat_ws(' ', title, `trigger`) rlike {S.text(fails)}")
     named = names.join(drivers.select(*by, "flow", "driver"), [*by, "flow"], "left")
@@ -364,18 +455,34 @@ def nest_flows(flows: DataFrame, steps: DataFrame, names: DataFrame, drivers: Da
     by_start = ok.where(f"NOT first_actor rlike {S.text(generic)}").select(*by, "flow", F.col("first_actor").alias("name")).join(
         usable, [*by, "name"]).withColumn("rule", F.lit(1))
     cand = by_word.unionByName(by_start).where("k <> flow").groupBy(*by, "flow", "k").agg(F.min(F.struct("rule", "k", "i")).alias("order"))
-    todo = cut(cand, "nest")
-    chosen = cut(todo.where("false").select(*by, "flow", F.col("k").alias("under_flow"), F.col("order.i").alias("under_step")), "chosen")
-    while not is_empty(todo):
-        # the earliest undecided flow of each part chooses now; what it may not choose is what hangs below it
-        now = todo.groupBy(*by).agg(F.min("flow").alias("flow"))
-        mine = todo.join(now, [*by, "flow"])
-        links = chosen.select(*by, F.col("under_flow").alias("src"), F.col("flow").alias("dst"))
-        below = reach(links, now.select(*by, F.col("flow").alias("node")), by).select(*by, F.col("src").alias("flow"), F.col("node").alias("k"))
-        pick = mine.join(below, [*by, "flow", "k"], "left_anti").groupBy(*by, "flow").agg(F.min("order").alias("o"))
-        chosen = cut(chosen.unionByName(pick.select(*by, "flow", F.col("o.k").alias("under_flow"), F.col("o.i").alias("under_step"))), "chosen")
-        todo = cut(todo.join(now, [*by, "flow"], "left_anti"), "nest")
-    return chosen
+    cand = cut(cand, "nest")
+    while True:
+        pick = cut(cand.groupBy(*by, "flow").agg(F.min("order").alias("o")).select(*by, "flow", F.col("o.k").alias("k"), F.col("o.i").alias("i")), "pick")
+        last = circles(pick.select(*by, F.col("flow").alias("src"), F.col("k").alias("dst")), by)
+        if last is None:
+            return pick.select(*by, "flow", F.col("k").alias("under_flow"), F.col("i").alias("under_step"))
+        skipped = pick.join(last.select(*by, F.col("node").alias("flow")), [*by, "flow"], "left_semi").select(*by, "flow", "k")
+        cand = cut(cand.join(skipped, [*by, "flow", "k"], "left_anti"), "nest")
+
+
+def circles(pointers: DataFrame, by: Sequence[str] = ()) -> DataFrame | None:
+    """(by, node): the largest node of each circle of a graph in which every node points to one other at most; None without circles.
+    pointers: (src, dst).
+
+    Pointer doubling: after more steps than there are pointers, whoever still points somewhere points into a circle, the nodes pointed
+    at are those on circles, and the largest node met on the way is that of the whole circle. Paths that end drop out as they are found.
+    """
+    size = pointers.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    jump = pointers.select(*by, "src", "dst", F.col("src").alias("most"))
+    steps = 1
+    while not is_empty(jump):
+        if steps > size:
+            rings = jump.select(*by, F.col("dst").alias("src")).distinct()
+            return cut(jump.join(rings, [*by, "src"], "left_semi").select(*by, F.col("most").alias("node")).distinct(), "circles")
+        on = jump.select(*by, F.col("src").alias("dst"), F.col("dst").alias("_dst"), F.col("most").alias("_most"))
+        jump = cut(jump.join(on, [*by, "dst"]).select(*by, "src", F.col("_dst").alias("dst"), F.greatest("most", "_most").alias("most")), "circles")
+        steps *= 2
+    return None
 
 
 def step_paths(steps: DataFrame, by: Sequence[str] = ("fn_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import scalars as S
-from .ordered import asof, first_per, top_k
+from .ordered import asof, first_per, spread_join, top_k
 
 
 # ---- prefix joins ----------------------------------------------------------------------------------
@@ -212,9 +212,10 @@ def touch_externals(functions: DataFrame, uses: DataFrame, flow_steps: DataFrame
 
 
 def mentioned_in_tests(functions: DataFrame, test_files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, fn_id, test): test files (path, content) whose identifiers include the function's name."""
+    """(by, fn_id, test): test files (path, content) whose identifiers include the function's name. Names that very many functions
+    bear and very many tests mention are dealt out over tasks."""
     names = test_files.select(*by, F.col("path").alias("test"), F.explode(F.expr(S.identifiers("content"))).alias("name"))
-    return functions.select(*by, "fn_id", "name").join(names, [*by, "name"]).select(*by, "fn_id", "test")
+    return spread_join(functions.select(*by, "fn_id", "name"), names, [*by, "name"]).select(*by, "fn_id", "test")
 
 
 def entries_through(routes: DataFrame, names: DataFrame, by: Sequence[str] = ("part",)) -> DataFrame:
@@ -334,11 +335,6 @@ def old_path(paths: DataFrame, files: DataFrame, by: Sequence[str] = ()) -> Data
     return paths.join(moved, [*by, "path"], "left").select(*by, "path", F.coalesce("_old", "path").alias("old"))
 
 
-# fixed values: the step kind a change record is about
-KIND_OF = {"condition": "decision", "error_check": "decision", "gate": "decision", "return": "return",
-           "throw": "throw", "effect": "effect", "call": "call", "loop": "loop", "signature": "entry"}
-
-
 def attach_changes(changes: DataFrame, steps: DataFrame, line_map: DataFrame, by: Sequence[str] = ("fn_id",)) -> DataFrame:
     """(by, change_id, pos): the step each change belongs to.
 
@@ -346,7 +342,7 @@ def attach_changes(changes: DataFrame, steps: DataFrame, line_map: DataFrame, by
     On its line (same kind first), else the closest step above; a removed line goes to a removed step, else to the
     closest base line above, else to the head line it maps to; else to the first step.
     """
-    want = f"element_at({S.table(KIND_OF)}, c_kind)"
+    want = f"element_at({S.table(fx.KIND_OF)}, c_kind)"
     c = changes.select(*by, "change_id", F.col("kind").alias("c_kind"), "head_line", "base_line")
     heads = steps.where("NOT removed AND kind <> 'exit'")
     ghosts = steps.where("removed")
@@ -379,7 +375,7 @@ def branch_list(local: DataFrame, remote: DataFrame, by: Sequence[str] = (), k:
     names = local.select(*by, F.col("name").alias("_short")).distinct()
     fresh = remote.withColumn("_short", short).join(names, [*by, "_short"], "left_anti").drop("_short")
     both = local.withColumn("remote", F.lit(False)).unionByName(fresh.withColumn("remote", F.lit(True)))
-    return top_k(both, by or [F.lit(1)], ["remote", F.col("updated").desc(), "name"], k)
+    return top_k(both, by, ["remote", F.col("updated").desc(), "name"], k)
 
 
 def flows_through(flow_steps: DataFrame, touched: DataFrame, by: Sequence[str] = ()) -> DataFrame:

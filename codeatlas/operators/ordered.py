@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def carry_forward(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str,
                   current: bool = True) -> DataFrame:
@@ -55,11 +57,12 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int | None, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key with their rank. The rank filter lets Spark cut every partition to ``k`` rows
-    per key before the shuffle. ``k=None`` ranks every row."""
+    per key before the shuffle. ``k=None`` ranks every row, range by range."""
+    if k is None:
+        return ranked(df, keys, order, rank)
     order = [F.expr(o) if isinstance(o, str) else o for o in order]
-    window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn(rank, F.row_number().over(window))
-    return ranked if k is None else ranked.where(F.col(rank) <= k)
+    window = Window.partitionBy(*keys or [F.lit(1)]).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def ordered_text(value, order: Sequence, separator: str):
@@ -95,3 +98,38 @@ def bucket_rank(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], orde
         "_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (b.withColumn("_r", F.row_number().over(inside)).join(sizes, [*keys, *names])
             .withColumn(out, (F.col("_r") + F.col("_shift")).cast("int")).drop("_r", "_shift", *names))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rank") -> DataFrame:
+    """Adds ``out``: the 1-based rank within each key in the given order (SQL or columns; ties come in any order).
+
+    No window holds a key: rows are dealt by ranges of (keys, order), for which Spark takes a sample, ranked inside (key, range) and shifted by
+    what the key has in earlier ranges. So a key of any size, or a whole table without keys, is ranked by as many tasks as there are ranges. The
+    rows are written once in between, so that both passes see the same ranges.
+    """
+    order = [F.expr(o) if isinstance(o, str) else o for o in order]
+    dealt = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys or [F.lit(1)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)   # a row a range
+    shift = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    return (dealt.withColumn("_r", F.row_number().over(inside)).join(shift, [*keys, "_range"])
+            .withColumn(out, (F.col("_r") + F.col("_shift")).cast("int")).drop("_r", "_shift", "_range").select(*df.columns, out))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int = 1 << 20) -> DataFrame:
+    """The inner join of two tables on ``keys`` where keys may be hot on either or both sides.
+
+    Rows are counted per key on both sides. A key with more than ``pairs`` meetings is dealt out: the side with more rows of it is salted and the
+    other one copied once a salt, so that no task gets more than about ``pairs`` meetings of a key. Other keys join as they are. Null keys meet nothing.
+    """
+    a, b = (df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((left, "_a"), (right, "_b")))
+    hot = cut(a.join(b, keys).where(f"cast(_a AS DOUBLE) * _b > {pairs}").select(
+        *keys, F.expr(f"cast(least(ceil(cast(_a AS DOUBLE) * _b / {pairs}), greatest(_a, _b)) AS INT) AS _salts"), (F.col("_a") >= F.col("_b")).alias("_left")), "hot")
+
+    def side(df: DataFrame, salted: str) -> DataFrame:
+        marked = df.withColumn("_own", F.xxhash64(*df.columns)).join(hot, keys, "left")
+        salts = f"CASE WHEN _salts IS NULL THEN array(0) WHEN {salted} THEN array(cast(pmod(_own, _salts) AS INT)) ELSE sequence(0, _salts - 1) END"
+        return marked.withColumn("_salt", F.explode(F.expr(salts))).drop("_own", "_salts", "_left")
+
+    return side(left, "_left").join(side(right, "NOT _left"), [*keys, "_salt"]).drop("_salt")

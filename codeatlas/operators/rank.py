@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
-from .ordered import bucket_rank, carry_forward, first_per, running_sum, top_k
+from .ordered import carry_forward, first_per, ranked, running_sum, top_k
 
 
 def rank_entries(exposed: DataFrame, roots: DataFrame, by: Sequence[str] = ("part",), cap: int | None = None) -> DataFrame:
@@ -37,8 +37,8 @@ def assign_batches(items: DataFrame, n: int, by: Sequence[str] = (), chunk: int
     from ..session import cut, is_empty
     scope = list(by) or ["_all"]
     src = items if by else items.withColumn("_all", F.lit(1))
-    ranked = bucket_rank(src, scope, ["-cast(size AS BIGINT)", "left(id, 8)"], ["-cast(size AS BIGINT)", "id"])
-    chunks = ranked.withColumn("chunk", F.expr(f"(rank - 1) div {chunk}"))
+    in_order = ranked(src, scope, ["-cast(size AS BIGINT)", "id"])
+    chunks = in_order.withColumn("chunk", F.expr(f"(rank - 1) div {chunk}"))
     packed = cut(chunks.groupBy(*scope, "chunk").agg(
         F.expr("array_sort(collect_list(struct(rank, id, cast(size AS BIGINT) AS size)))").alias("xs")), "batches")
     used = src.groupBy(*scope).agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("_k"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..functions import scalars as S
 from .joins import owner_of, topic_links
-from .ordered import bucket_rank, first_per, ordered_text, top_k
+from .ordered import first_per, ordered_text, ranked, top_k
 
 
 # ---- links -----------------------------------------------------------------------------------------
@@ -28,8 +28,7 @@ def folder_clusters(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, id, name, color, members): parts grouped by first folder; the palette repeats in name order."""
     top = parts.selectExpr(*by, "id AS part", "CASE WHEN coalesce(path, '') = '' THEN id ELSE split_part(path, '/', 1) END AS id")
     groups = top.groupBy(*by, "id").agg(F.count("*").alias("members"))
-    rank = F.row_number().over(Window.partitionBy(*by or [F.lit(1)]).orderBy("id"))
-    return (groups.withColumn("i", rank - 1)
+    return (ranked(groups, by, ["id"], "i").withColumn("i", F.col("i") - 1)
             .selectExpr(*by, "id", "initcap(translate(id, '-_', '  ')) AS name", "'' AS summary",
                         f"get({S.texts(fx.PALETTE)}, i % {len(fx.PALETTE)}) AS color", "members"))
 
@@ -105,7 +104,7 @@ def external_groups(externals: DataFrame, links: DataFrame, uses: DataFrame, by:
     users = links.select(*by, F.col("dst").alias("id"), "src").union(
         uses.select(*by, F.col("target").alias("id"), "src")).distinct().groupBy(*by, "id").agg(F.count("*").alias("users"))
     counted = externals.join(users, [*by, "id"], "left").select(*by, "kind", "id", F.coalesce("users", F.lit(0)).alias("users"))
-    return bucket_rank(counted, [*by, "kind"], ["-users", "left(id, 4)"], ["-users", "id"])
+    return ranked(counted, [*by, "kind"], ["-users", "id"])
 
 
 def merge_externals(externals: DataFrame, uses: DataFrame, kinds: DataFrame | None = None, by: Sequence[str] = (),
@@ -152,8 +151,8 @@ def changes_per_part(changed: DataFrame, parts: DataFrame, by: Sequence[str] = (
 
 
 def estimate_tokens(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, tokens): bytes of non-test source files under a million bytes, divided by four."""
-    kept = files.where(f"{S.is_source('path')} AND NOT {S.is_test('path')} AND size < 1000000")
+    """(by, tokens): bytes of non-test source files of any size, divided by four."""
+    kept = files.where(f"{S.is_source('path')} AND NOT {S.is_test('path')}")
     return kept.groupBy(*by).agg(F.expr("coalesce(sum(size), 0) div 4").alias("tokens"))
 
 
@@ -229,6 +228,15 @@ def part_risk(functions: DataFrame, entries: DataFrame, by: Sequence[str] = ())
                                                            "coalesce(lines, 0) AS lines")
 
 
+def part_members(functions: DataFrame, entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, part, what, id): what ``part_risk`` counts, row by row: the functions of each part under review and the distinct entry routes that
+    they lie on. functions: (part, fn_id); entries: (part, line_id)."""
+    f = functions.where("part IS NOT NULL")
+    lines = entries.select(*by, "part", F.col("line_id").cast("string").alias("id")).distinct().join(f.select(*by, "part").distinct(), [*by, "part"], "left_semi")
+    return f.select(*by, "part", F.lit("function").alias("what"), F.col("fn_id").cast("string").alias("id")).unionByName(
+        lines.select(*by, "part", F.lit("line").alias("what"), "id"))
+
+
 def review_stats(files: DataFrame, functions: DataFrame, changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, stat, n): files, functions by status, changes by severity."""
     out = files.groupBy(*by).agg(F.count("*").alias("n")).selectExpr(*by, "'files' AS stat", "n")
@@ -244,6 +252,12 @@ def merge_gates(file_gates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.expr("CASE WHEN min(op) = max(op) THEN min(op) ELSE 'changed' END").alias("op"), F.count("ref").alias("refs"))
 
 
+def gate_refs(file_gates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, gate, op, ref): the references of the gates that ``merge_gates`` counts, each with its gate's op over all files."""
+    op = merge_gates(file_gates, by).select(*by, "gate", "op")
+    return file_gates.where("ref IS NOT NULL").select(*by, "gate", "ref").join(op, [*by, "gate"]).select(*by, "gate", "op", "ref")
+
+
 def change_chips(changes: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFrame:
     """(by, fn_id, rank, why, severity, times, more): repeated reasons folded, riskiest first, the first ``k`` with the
     number left out. changes: (fn_id, pos, why, severity)."""

@@ -16,7 +16,7 @@ from ..functions import fixed as fx
 from ..functions import scalars as S
 from ..session import cut, once
 from .joins import enclosing, entries_through, owner_of
-from .ordered import first_per
+from .ordered import first_per, spread_join
 from .rollup import assemble_gates, gate_rows
 
 _STRING = r"""(?:"([^"]*)"|\x27([^\x27]*)\x27)"""
@@ -102,7 +102,7 @@ def bind_reads(reads: DataFrame, lines: DataFrame, by: Sequence[str] = ()) -> Da
     """reads with ``what`` (var or field), ``bound`` and ``default``: the name each read is stored in, through wrappers that keep the
     value, and the default stated around it: ``or "d"``, ``orElse("d")``, or an emptiness check on the next line."""
     text = reads.join(lines.select(*by, "path", "line_no", "text"), [*by, "path", "line_no"])
-    keep = r"(?:int|float|bool|str|String|Number|parseInt|parseFloat|strconv\.Atoi|strconv\.ParseBool|Boolean|strings\.TrimSpace|strings\.ToLower)\("
+    keep = rf"(?:\w+(?:\.|::))*(?i:{fx.VALUE_KEEPING}|boolean)\("
     target = r"^\s*(?:export\s+)?(?:(?:const|let|var|val|final|static|private|public)\s+)*(?:[A-Z]\w*(?:<[^>]*>)?\s+)?((?:\w+(?:\.|->))*\w+)(?:\s*,\s*\w+)?(?:\s*:\s*[\w.<>\[\]]+)?\s*(?::=|=)(?!=)\s*"
     keyed = r"^\s*(\w+):\s+"
     assigned = rf"{target}(?:{keep})*(?:(?:os|syscall|System|std|Deno|process|import|ENV|env|getenv|environ)\b|[\w.>-]*(?:\w+)\()"
@@ -152,11 +152,11 @@ def scan_checks(bindings: DataFrame, lines: DataFrame, functions: DataFrame, par
     # a variable bound outside functions is seen in the whole file
     by_var = fn_of(words).join(var.withColumnRenamed("fn_id", "_fn"), [*by, "path", "word"]).where(
         "line_no > _from AND (_fn = '' OR _fn = fn_id)").select(*by, "gate", "path", "line_no", "text")
-    own = owner_of(lines.select(*by, "path"), parts.select(*by, F.col("id").alias("owner"), F.col("path").alias("folder")), by)
+    own = owner_of(lines.select(*by, "path").distinct(), parts.select(*by, F.col("id").alias("owner"), F.col("path").alias("folder")), by)
     place = own.select(*by, "path", F.coalesce("owner", "path").alias("_part"))
     field = b.where("what = 'field'").join(place, [*by, "path"]).selectExpr(*by, "gate", "_part", "bound AS word").distinct()
     dotted = words.where(r"cond rlike concat('(\\.|->|::)', word, '\\b')").join(place, [*by, "path"])
-    by_field = dotted.join(field, [*by, "_part", "word"]).select(*by, "gate", "path", "line_no", "text")
+    by_field = spread_join(dotted, field, [*by, "_part", "word"]).select(*by, "gate", "path", "line_no", "text")
     return direct.unionByName(by_var).unionByName(by_field).distinct()
 
 
@@ -241,6 +241,8 @@ def blocks(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     opened = rows.where(f"text rlike {S.text(_OPENER)}").selectExpr(
         *by, "path", "line_no", "indent", rf"regexp_replace({_at('text', _OPENER, 1)}, 'else\\s+if', 'elif') AS word", f"{_at('text', _OPENER, 2)} AS c")
     heads = opened.selectExpr(*by, "path", "line_no", "indent", f"element_at({S.table(_BLOCK_KINDS)}, word) AS kind", f"{S.squash(S.unparen('c'))} AS cond")
+    heads = heads.unionByName(rows.where(f"text rlike {S.text(_ITERATED)} AND NOT text rlike {S.text(_OPENER)}").selectExpr(
+        *by, "path", "line_no", "indent", "'loop' AS kind", "'' AS cond"))
     last = lines.groupBy(*by, "path").agg((F.max("line_no") + 1).alias("_stop"))
     ends = until_dedent(rows, heads, by).join(last, [*by, "path"]).selectExpr(*by, "path", "line_no", "line_no + 1 AS start", "coalesce(next_line, _stop) - 1 AS end")
     if_line = F.last(F.expr("CASE WHEN kind = 'if' THEN line_no END"), ignorenulls=True).over(Window.partitionBy(*by, "path", "indent").orderBy("line_no"))
@@ -256,6 +258,13 @@ def _holding(points: DataFrame, spans: DataFrame, by: Sequence[str], block: int
     return p.join(s, [*by, "path", "_block"]).where("line_no BETWEEN start AND `end`").drop("_block")
 
 
+# a call with a closure behind it: a bracket or brace that opens one, do, or an arrow
+_CLOSURE = r"\b\s*(?:\([^()]*\))?\s*(?:\(\s*(?:async\s+)?(?:\([^()]*\)|\w*)\s*(?:=>|->)|\(\s*(?:move\s+)?\||\(\s*func(?:tion)?\b|\{|do\b)"
+_ITERATED = rf"(?:^\s*|[.:])(?:{'|'.join(fx.ITERATOR_CALLS)}){_CLOSURE}"
+_SCOPED = rf"(?:^\s*|[.:])(?:{'|'.join(fx.SCOPE_CALLS)}){_CLOSURE}"
+_MACRO = rf"^\s*(?:\w+::)*(?:{'|'.join(fx.PANIC_MACROS)})!\s*[(\[{{]"
+
+
 # ---- steps and calls --------------------------------------------------------------------------------------
 def scan_steps(lines: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, fn_id, path, line_no, kind, text, error, block_path): control steps, one per line, inside their function. block_path:
@@ -266,6 +275,8 @@ def scan_steps(lines: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -
             r"WHEN text rlike '^\\s*(?:switch|match|select)\\b' THEN 'switch' WHEN text rlike '^\\s*try\\b' THEN 'try' "
             r"WHEN text rlike '^\\s*return\\b' THEN 'return' "
             f"WHEN text rlike {S.text(rf'^{chr(92)}s*(?:(?:raise|throw){chr(92)}b|(?:{stop}){chr(92)}(|(?:{chr(92)}w+{chr(92)}.)?(?:{leave}){chr(92)}()')} THEN 'throw' "
+            f"WHEN {S.lang('path')} = 'rust' AND text rlike {S.text(_MACRO)} THEN 'throw' WHEN text rlike {S.text(_ITERATED)} THEN 'loop' "
+            f"WHEN text rlike {S.text(_SCOPED)} THEN NULL "
             r"WHEN text rlike '^\\s*(?:func|def|class|function|fn)\\b|^\\s*(?:public|private|protected|internal|static|override)\\b.*\\{\\s*$' THEN NULL WHEN text rlike '[A-Za-z_$][\\w$]*\\(' THEN 'call' END")
     rows = lines.withColumn("kind", F.expr(kind)).where("kind IS NOT NULL")
     inside = enclosing(rows.withColumnRenamed("line_no", "line"), functions, [*by, "path"]).withColumnRenamed("line", "line_no")
@@ -280,6 +291,48 @@ def scan_steps(lines: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -
         "block_path", F.expr("coalesce(block_path, cast(array() AS ARRAY<STRUCT<head: INT, branch: STRING>>))"))
 
 
+_CALL = r"((?:[A-Za-z_$][\w$]*\s*(?:\??\.|::|->)\s*)*)([A-Za-z_$][\w$]*)\("
+
+
+def line_calls(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, path, line_no, pos, callee, receiver, in_log): every call of each line in order, with the chain before its name, and whether it
+    stands among the arguments of a logging call."""
+    bare = lines.where(r"text rlike '[A-Za-z_$][\\w$]*\\('").selectExpr(
+        *by, "path", "line_no", r"""regexp_replace(regexp_replace(text, '"(?:\\\\.|[^"\\\\])*"|\x27(?:\\\\.|[^\x27\\\\])*\x27', '""'), '^\\s*(?:func|def|function|fn)\\b.*$', '') AS text""")
+    found = lambda group: f"regexp_extract_all(text, {S.text('.*?' + _CALL)}, {group})"
+    split = bare.selectExpr(*by, "path", "line_no", f"{found(0)} AS segs", f"{found(1)} AS chains", f"{found(2)} AS names").withColumn(
+        "logs", F.expr(f"transform(chains, c -> arrays_overlap({S.words('c')}, {S.texts(fx.NOISE_WORDS)}))"))
+    # of the brackets between a logging call and a later one, the logging call's own is open while the sum never falls below none
+    between = "regexp_extract_all(array_join(slice(segs, a + 2, pos - a), ''), '[()]', 0)"
+    lowest = (f"aggregate({between}, struct(0 AS b, 0 AS low), (s, p) -> CASE WHEN p = '(' THEN struct(s.b + 1 AS b, s.low AS low) "
+              "ELSE struct(s.b - 1 AS b, least(s.low, s.b - 1) AS low) END, s -> s.low)")
+    calls = split.select("*", F.posexplode("names").alias("pos", "callee"))
+    return calls.selectExpr(*by, "path", "line_no", "pos", "callee", "get(chains, pos) AS receiver",
+                            f"pos > 0 AND exists(sequence(0, greatest(pos - 1, 0)), a -> get(logs, a) AND {lowest} >= 0) AS in_log").where(
+        f"NOT array_contains({S.texts(_NOT_CALLS)}, callee)")
+
+
+def scan_effects(lines: DataFrame, functions: DataFrame, known: DataFrame, targets: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, fn_id, path, line_no, pos, kind, callee, receiver, target): the calls inside functions that are steps: effects on outside systems, and
+    calls of known functions unless they only feed a logging call. Every call counts, also in conditions, arguments and returned values.
+
+    known: (by, name); targets: (by, path, line, target) of references to outside systems: the first call of such a line has that effect.
+    """
+    calls = line_calls(lines, by)
+    inside = enclosing(calls.withColumnRenamed("line_no", "line"), functions, [*by, "path"]).withColumnRenamed("line", "line_no")
+    placed = calls.join(inside, [*by, "path", "line_no"]).join(
+        known.select(*by, F.col("name").alias("callee")).distinct().withColumn("_known", F.lit(True)), [*by, "callee"], "left")
+    marked = placed.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
+    if targets is None:
+        marked = marked.withColumn("target", F.lit(None).cast("string"))
+    else:
+        first = marked.groupBy(*by, "path", "line_no").agg(F.min("pos").alias("pos"))
+        named = targets.groupBy(*by, "path", F.col("line").alias("line_no")).agg(F.min("target").alias("target"))
+        marked = marked.join(first.join(named, [*by, "path", "line_no"]), [*by, "path", "line_no", "pos"], "left")
+    return classify_calls(marked).where("NOT (kind = 'call' AND in_log)").select(
+        *by, "fn_id", "path", "line_no", "pos", "kind", "callee", "receiver", "target")
+
+
 def classify_calls(calls: DataFrame) -> DataFrame:
     """Calls (callee, receiver, known, target) with ``kind``: effect when a reference names it or its receiver or name tells of an
     outside system, call when it is a known function; adapters, logging and anything else are dropped."""
@@ -308,10 +361,12 @@ def scan_call_sites(lines: DataFrame, functions: DataFrame, by: Sequence[str] =
     return kept.join(inside, [*by, "path", "line_no"]).selectExpr(*by, "fn_id", "path", "line_no", "pos", "name", f"{recv} AS recv")
 
 
-def call_guards(sites: DataFrame, lines: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def call_guards(sites: DataFrame, lines: DataFrame, functions: DataFrame, by: Sequence[str] = (), connected: str = "true") -> DataFrame:
     """sites (fn_id, path, line_no, name, ...) with ``when`` (the two innermost conditions around each call, outer first, at most 60
     characters) and ``loop`` (the innermost loop). Conditions come from enclosing branches, earlier arms of the same if,
-    cases, error handlers, and guard clauses before the call; one shared by all calls of a function is dropped."""
+    cases, error handlers, and guard clauses before the call; one shared by all calls of a function is dropped. With ``connected`` (SQL over
+    sites) only such calls are given, and only they must share a condition for it to be dropped."""
+    sites = sites.where(connected)
     b = cut(blocks(lines, by), "blocks")   # used several times below
     spans = b.where("kind IN ('if', 'elif')").selectExpr(*by, "path", "start", "end", "cond AS guard", "line_no * 1000L AS rank")
     spans = spans.unionByName(b.where("kind = 'catch'").selectExpr(*by, "path", "start", "end", "'on error' AS guard", "line_no * 1000L AS rank"))

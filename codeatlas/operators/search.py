@@ -12,7 +12,7 @@ from ..functions import fixed as fx
 from ..functions import scalars as S
 from ..sources.files import explode_lines
 from .joins import enclosing
-from .ordered import top_k
+from .ordered import spread_join, top_k
 
 
 def in_folder(path: str, folder: str) -> str:
@@ -23,14 +23,14 @@ def in_folder(path: str, folder: str) -> str:
 
 
 def grep(lines: DataFrame, name: str, folder: str = "", limit: int | None = None) -> DataFrame:
-    """(ref, text, is_def): whole-word hits of an identifier, definitions first, in path and line order. An invalid
-    identifier has none. All hits, or the first ``limit``."""
+    """(ref, text, is_def): whole-word hits of an identifier, with the whole line; an invalid identifier has none. All hits in no
+    order, or the first ``limit``: definitions first, then by path and line."""
     if not re.fullmatch(r"[A-Za-z_][\w.]{0,80}", name):
         return lines.where("false").selectExpr("path AS ref", "text", "false AS is_def")
     word = rf"\b{re.escape(name)}\b"
     define = fx.DEFINITION + re.escape(name.split(".")[-1]) + r"\b"
     hits = lines.where(f"contains(text, {S.text(name)}) AND text rlike {S.text('(?U)' + word)} AND {in_folder('path', folder)}")
-    out = hits.selectExpr("path", "line_no", "left(trim(text), 200) AS text", f"text rlike {S.text(define)} AS is_def")
+    out = hits.selectExpr("path", "line_no", "trim(text) AS text", f"text rlike {S.text(define)} AS is_def")
     if limit is not None:
         out = out.orderBy(F.desc("is_def"), "path", "line_no").limit(limit)
     return out.selectExpr("concat(path, ':', line_no) AS ref", "text", "is_def")
@@ -101,7 +101,7 @@ def steps_at(steps: DataFrame, functions: DataFrame, places: DataFrame, by: Sequ
     fn = places.join(enclosing(places, functions, [*by, "path"], take=("name", "start", "end"), order=("start",)), [*by, "path", "line"], "left")
     words = fn.where("word IS NOT NULL").select(*by, "place_id", "path", "word")
     ends = s.select("*", F.explode(F.expr("array_distinct(filter(array(fn, a, b), w -> w IS NOT NULL))")).alias("word"))
-    by_word = words.join(ends, [*by, "word"]).selectExpr(
+    by_word = spread_join(words, ends, [*by, "word"]).selectExpr(
         *by, "place_id", "flow_id", "pos", "owner", "cast(CASE WHEN s_path <=> path THEN 3 ELSE 2 END AS DOUBLE) AS score").distinct()
     here = fn.where("word IS NULL").join(s.withColumn("path", F.col("s_path")), [*by, "path"])
     near = ("CASE WHEN start IS NOT NULL THEN CASE WHEN s_line >= start AND s_line < `end` THEN 3 - least(2D, abs(s_line - line) / 50D) "

@@ -111,8 +111,8 @@ class Tables:
 
     @cached_property
     def edges_down(self) -> DataFrame:
-        """A forest of 64 trees: parent to child."""
-        return self.part.where("p_partkey >= 128").selectExpr("p_partkey div 2 AS src", "p_partkey AS dst")
+        """A forest of 64 trees, the first 64 rows being the roots: parent to child."""
+        return self.part.where("p_partkey >= 64").selectExpr("p_partkey div 128 * 64 + p_partkey % 64 AS src", "p_partkey AS dst")
 
     @cached_property
     def edges_cyclic(self) -> DataFrame:
@@ -189,18 +189,26 @@ class Tables:
         return self.lineitem.groupBy(F.col("l_orderkey").alias("fn_id"), F.col("l_linenumber").cast("bigint").alias("n")).agg(
             F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
 
-    @cached_property
-    def code_lines(self) -> DataFrame:
-        """Source files made from part rows, one per row in one of four languages; @ stands for the row's number, % for it modulo 97."""
-        bodies = "array(" + ", ".join("array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\t", "\\t") + "'" for x in c) + ")" for c in CODE_FORMS) + ")"
+    def _code(self, paths, forms) -> DataFrame:
+        bodies = "array(" + ", ".join("array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\t", "\\t") + "'" for x in c) + ")" for c in forms) + ")"
         made = self.part.selectExpr(
-            "p_partkey AS k", f"replace(get({_names(CODE_PATHS)}, cast(p_partkey % 4 AS INT)), '@', p_partkey) AS path",
+            "p_partkey AS k", f"replace(get({_names(paths)}, cast(p_partkey % 4 AS INT)), '@', p_partkey) AS path",
             f"posexplode(get({bodies}, cast(p_partkey % 4 AS INT))) AS (pos, line)").selectExpr(
             "k", "path", "pos + 1 AS line_no", "replace(replace(line, '@', k), '%', k % 97) AS text").withColumn(
             "path", F.expr("replace(path, '#', k % 20)"))
         # a table of many files, as source lines would be
         return cut(made.repartition(self.spark.sparkContext.defaultParallelism, "path"), "code")
 
+    @cached_property
+    def code_lines(self) -> DataFrame:
+        """Source files made from part rows, one per row in one of four languages; @ stands for the row's number, % for it modulo 97."""
+        return self._code(CODE_PATHS, CODE_FORMS)
+
+    @cached_property
+    def effect_lines(self) -> DataFrame:
+        """Four more languages or forms: outside systems, loops over closures, and ways to stop."""
+        return self._code(EFFECT_PATHS, EFFECT_FORMS)
+
     @cached_property
     def code_functions(self) -> DataFrame:
         from ..operators.scan import scan_functions
@@ -333,6 +341,47 @@ CODE_FORMS = (
 )
 
 
+EFFECT_PATHS = ("rs#/r@.rs", "js#/w@.js", "go#/g@.go", "rb#/b@.rb")
+EFFECT_FORMS = (
+    ("fn load_@(db: Db) -> i32 {",
+     "    if db.find(key_@) {",
+     '        panic!("lost @");',
+     "    }",
+     "    items.iter().for_each(|x| {",
+     "        store_client.save(x);",
+     "    });",
+     "    log.info(helper_@(count(db.size())));",
+     "    let port = env::var(\"PORT_%\").unwrap_or(\"80\");",
+     "    helper_@(1)",
+     "}"),
+    ("function run@(xs) {",
+     "  xs.forEach(x => {",
+     "    kafkaProducer.send(x)",
+     "  })",
+     "  console.log(helper_@(db.get(1)), db.close())",
+     "  const size = Math.max(parseFloat(process.env.SIZE_%), 1)",
+     "  const rate = parseFloat(process.env.RATE_%)",
+     "  return pool.query(other_@(xs))",
+     "}"),
+    ("func Go@(c Conn) {",
+     "\tfor i := 0; i < 3; i++ {",
+     '\t\tsqlClient.Exec("f(x)", helper_@(i))',
+     "\t}",
+     "\tn := strings.ToUpper(os.Getenv(\"NAME_%\"))",
+     "\tif n != \"\" {",
+     "\t\tlogger.Info(n); helper_@(n)",
+     "\t}",
+     "\tlog.Fatal(n)",
+     "}"),
+    ("def each_@(xs)",
+     "  xs.each do |x|",
+     "    redis.set(x)",
+     "  end",
+     "  raise Missing",
+     "end"),
+)
+
+
 def _names(values) -> str:
     return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -370,7 +419,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS pos
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "edges_tree": ("", "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0"),
-    "edges_down": ("", "SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 128"),
+    "edges_down": ("", "SELECT p_partkey // 128 * 64 + p_partkey % 64 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 64"),
     "edges_cyclic": ("", """SELECT p_partkey AS src, p_partkey - p_partkey % 4 + (p_partkey + 1) % 4 AS dst FROM part
         UNION ALL SELECT p_partkey, (p_partkey // 8) * 4 FROM part WHERE p_partkey % 4 = 0 AND p_partkey > 0"""),
     "marks": ("", """SELECT * FROM (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'read'
@@ -406,6 +455,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM lineitem GROUP BY ALL"""),
     "code_files": ("", f"""SELECT p_partkey AS k, p_partkey % 97 AS m, replace(replace([{", ".join(f"'{v}'" for v in CODE_PATHS)}][p_partkey % 4 + 1],
         '@', CAST(p_partkey AS VARCHAR)), '#', CAST(p_partkey % 20 AS VARCHAR)) AS path FROM part"""),
+    "effect_files": ("", f"""SELECT p_partkey AS k, p_partkey % 97 AS m, replace(replace([{", ".join(f"'{v}'" for v in EFFECT_PATHS)}][p_partkey % 4 + 1],
+        '@', CAST(p_partkey AS VARCHAR)), '#', CAST(p_partkey % 20 AS VARCHAR)) AS path FROM part"""),
     "calls": ("", "SELECT DISTINCT l_partkey AS src, l_partkey // 2 + l_suppkey % 5 AS dst FROM lineitem"),
     "repo_paths": ("", f"""SELECT p_partkey AS k, replace([{", ".join(f"'{t}'" for t in PATH_FORMS)}][p_partkey % {len(PATH_FORMS)} + 1],
         '@', CAST(p_partkey AS VARCHAR)) AS path, CAST(p_retailprice * 1000 AS BIGINT) AS size, p_size AS code_lines FROM part"""),

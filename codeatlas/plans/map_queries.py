@@ -108,10 +108,10 @@ def search_catalog(t):
 
 # ---- search --------------------------------------------------------------------------------------------
 @query("c1_grep", "corpus_lines", """
-    SELECT path || ':' || line_no AS ref, trim(text)[:200] AS text, false AS is_def FROM corpus_lines
-    WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') ORDER BY path, line_no LIMIT 200""")
+    SELECT path || ':' || line_no AS ref, trim(text) AS text, false AS is_def FROM corpus_lines
+    WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])')""")
 def grep(t):
-    return search.grep_files(t.corpus, "the", limit=200)
+    return search.grep_files(t.corpus, "the")
 
 
 @query("c1_grep_definitions", "functions", """
@@ -124,9 +124,9 @@ def grep_definitions(t):
 
 
 @query("c2_list_tree", "head", """
-    SELECT path FROM head WHERE path LIKE 'moved/%' ORDER BY path LIMIT 5000""")
+    SELECT path FROM head WHERE path LIKE 'moved/%'""")
 def list_tree(t):
-    return search.list_tree(t.head, "moved", limit=5000)
+    return search.list_tree(t.head, "moved")
 
 
 FUZZY = """list_reduce(list_prepend({{'c': '', 'i': 0, 'score': 0.0, 'last': -2, 'j': 0, 'prev': ''}},

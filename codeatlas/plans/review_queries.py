@@ -213,14 +213,14 @@ def classify_one_sided(t):
 
 
 @query("i7_literal_changes", "order_steps", """
-    SELECT fn_id, CAST(s AS VARCHAR) AS before, CAST(s + 1 AS VARCHAR) AS after, CASE WHEN p % 3 < 2 THEN 'medium' ELSE 'low' END AS severity,
-      CASE p % 3 WHEN 0 THEN 'Timeout' WHEN 1 THEN 'Condition value' ELSE 'Value' END || ' changed: ' || s || ' → ' || (s + 1) AS why FROM order_steps WHERE n = 1 AND s % 2 = 0""")
+    SELECT fn_id, n, CAST(s AS VARCHAR) AS before, CAST(s + 1 AS VARCHAR) AS after, CASE WHEN p % 3 < 2 THEN 'medium' ELSE 'low' END AS severity,
+      CASE p % 3 WHEN 0 THEN 'Timeout' WHEN 1 THEN 'Condition value' ELSE 'Value' END || ' changed: ' || s || ' → ' || (s + 1) AS why FROM order_steps WHERE s % 2 = 0""")
 def literal_changes(t):
     token = lambda e: f"struct({e} AS text, 1 AS line, CASE WHEN p % 3 = 0 THEN 'timeout = x' ELSE 'value = x' END AS statement, p % 3 = 1 AS in_condition)"
-    fns = t.order_steps.where("n = 1").selectExpr(
-        "fn_id", f"array({token(chr(39) + 'f' + chr(39))}, {token(chr(39) + '=' + chr(39))}, {token('cast(s AS STRING)')}, {token(chr(39) + 'y' + chr(39))}) AS base_tokens",
+    fns = t.order_steps.selectExpr(
+        "fn_id", "n", f"array({token(chr(39) + 'f' + chr(39))}, {token(chr(39) + '=' + chr(39))}, {token('cast(s AS STRING)')}, {token(chr(39) + 'y' + chr(39))}) AS base_tokens",
         f"array({token(chr(39) + 'f' + chr(39))}, {token(chr(39) + '=' + chr(39))}, {token('cast(CASE WHEN s % 2 = 0 THEN s + 1 ELSE s END AS STRING)')}, {token(chr(39) + 'y' + chr(39))}) AS head_tokens")
-    return change.literal_changes(fns).select("fn_id", "before", "after", "severity", "why")
+    return change.literal_changes(fns, ["fn_id", "n"]).select("fn_id", "n", "before", "after", "severity", "why")
 
 
 # ---- gates, config -------------------------------------------------------------------------------------------
@@ -240,6 +240,12 @@ def file_gate_changes(t):
     return change.file_gate_changes(*gate_items(t))
 
 
+@query("i9_file_gate_refs", "order_steps", ITEMS + """
+    SELECT DISTINCT g.file, g.gate, op, line FROM g JOIN i ON i.file = g.file AND i.gate = g.gate WHERE fn IS NOT NULL AND CASE WHEN op = 'removed' THEN b ELSE h END""")
+def file_gate_refs(t):
+    return change.file_gate_refs(*gate_items(t))
+
+
 @query("i9_function_gate_changes", "order_steps", ITEMS + """
     SELECT f.file, f.gate, fn AS fn_id, CASE WHEN h THEN 'added' ELSE 'removed' END AS op, CASE WHEN b AND g.op = 'removed' THEN 'high' ELSE 'medium' END AS severity
     FROM f JOIN g ON f.file = g.file AND f.gate = g.gate WHERE fn IS NOT NULL AND b <> h""")
@@ -255,6 +261,13 @@ def merge_gates(t):
     return rollup.merge_gates(t.marks.selectExpr("gate", "CASE WHEN what = 'read' THEN 'added' ELSE 'removed' END AS op", "ref"))
 
 
+@query("e13_gate_refs", "marks", """
+    SELECT gate, CASE WHEN r AND c THEN 'changed' WHEN r THEN 'added' ELSE 'removed' END AS op, ref FROM marks
+    JOIN (SELECT gate, bool_or(what = 'read') AS r, bool_or(what = 'check') AS c FROM marks GROUP BY gate) USING (gate)""")
+def gate_refs(t):
+    return rollup.gate_refs(t.marks.selectExpr("gate", "CASE WHEN what = 'read' THEN 'added' ELSE 'removed' END AS op", "ref"))
+
+
 @query("e17_assemble_gates", "marks", """
     SELECT gate, count(DISTINCT ref) FILTER (what = 'read') AS reads, count(DISTINCT ref) FILTER (what = 'check') AS checks,
       CASE WHEN min(text[4:4]) FILTER (what = 'read') = max(text[4:4]) FILTER (what = 'read') THEN min(text[4:4]) FILTER (what = 'read') END AS "default" FROM marks GROUP BY gate""")
@@ -326,6 +339,13 @@ def part_risk(t):
     return rollup.part_risk(reviewed(t).join(risks(t), "fn_id"), entries)
 
 
+@query("e11_part_members", "steps", f"""
+    WITH f AS ({STATUSES}) SELECT part, 'function' AS what, fn_id AS id FROM f
+    UNION SELECT 'part' || user_id % 10, 'line', event_type FROM events WHERE 'part' || user_id % 10 IN (SELECT part FROM f)""")
+def part_members(t):
+    return rollup.part_members(reviewed(t), t.events.selectExpr("concat('part', user_id % 10) AS part", "event_type AS line_id"))
+
+
 @query("e12_review_stats", "steps base head", f"""
     WITH o AS ({ONE_SIDED}), f AS ({STATUSES})
     SELECT 'files' AS stat, (SELECT count(*) FROM head) AS n UNION ALL SELECT status, count(*) FROM f GROUP BY 1 UNION ALL SELECT severity, count(*) FROM o GROUP BY 1""")
@@ -404,7 +424,7 @@ def ref_filter(t):
 
 @query("a15_review_facts", "steps", f"""
     WITH o AS ({ONE_SIDED}), f AS ({STATUSES}), c AS (SELECT DISTINCT 'fn' || user_id AS fn_id, 'c' || event_id % 20 AS caller FROM events),
-    e AS (SELECT fn_id, string_agg(caller, ', ' ORDER BY caller) AS callers FROM (SELECT *, row_number() OVER (PARTITION BY fn_id ORDER BY caller) AS r FROM c) WHERE r <= 8 GROUP BY 1)
+    e AS (SELECT fn_id, string_agg(caller, ', ' ORDER BY caller) AS callers FROM c GROUP BY 1)
     SELECT 0 AS section, fn_id AS key, -1 AS pos, 'a.py::' || fn_id || ' ' || status || ', risk low, callers ' || callers AS line FROM f JOIN e USING (fn_id)
     UNION ALL SELECT 0, o.fn_id, o.pos, '  - ' || severity || ': ' || why || CASE WHEN line > 0 THEN ' @ a.py:' || line ELSE '' END FROM o JOIN steps s ON s.pos = o.pos
     UNION ALL SELECT 1, 'env:' || part, 0, 'gate env:' || part || ' added' FROM (SELECT DISTINCT part FROM f)""")
@@ -426,8 +446,8 @@ def sql_files(t):
     base = p.where(f"{k} % 3 = 0").selectExpr("path", f"concat({get_b}, {set_('paid', ' AND (b IS NULL OR c = 1)')}, '-- name: Old', {k}, ' :exec\nINSERT INTO log (a) VALUES (1) ON CONFLICT DO NOTHING;\n') AS content")
     head = p.where(f"{k} % 3 = 0").selectExpr("path", f"concat(CASE WHEN {k} % 2 = 0 THEN concat({get_h}) ELSE concat({get_b}) END, {set_('done', '')}, '-- name: Fresh', {k}, ' :exec\nDELETE FROM log WHERE a = \\'x\\';\n') AS content")
     enum = f"'CREATE TYPE mood', {k}, ' AS ENUM (\\'a\\', \\'b\\');\n'"
-    m_base = p.where(f"{k} % 3 = 1").selectExpr("path", f"CASE WHEN {k} % 2 = 0 THEN concat({enum}) ELSE '' END AS content")
-    m_head = p.where(f"{k} % 3 = 1").selectExpr("path", f"concat({enum}, 'CREATE TABLE tab', {k}, ' (\n id bigint, -- it; is\n mood mood', {k}, ' DEFAULT \\'a\\',\n price numeric(10, 2), PRIMARY KEY (id, mood));\n"
+    m_base = p.where(f"{k} % 3 <> 0").selectExpr("path", f"CASE WHEN {k} % 2 = 0 THEN concat({enum}) ELSE '' END AS content")
+    m_head = p.where(f"{k} % 3 <> 0").selectExpr("path", f"concat({enum}, 'CREATE TABLE tab', {k}, ' (\n id bigint, -- it; is\n mood mood', {k}, ' DEFAULT \\'a\\',\n price numeric(10, 2), PRIMARY KEY (id, mood));\n"
                                                 f"CREATE INDEX ix ON tab', {k}, ' (id);ALTER TABLE tab', {k}, ' DROP COLUMN c;\nDROP TABLE old', {k}, ';\n') AS content")
     return base.unionByName(m_base), head.unionByName(m_head)
 
@@ -441,9 +461,9 @@ def unit_rows(*rows) -> str:
 
 @query("i11_sql_units", "", unit_rows(
     ("k % 3 = 0", """path, true AS named, 'Get' || k AS name, 'Loads ' || p_name || '. Fast.' AS doc, 1 AS "start", 4 AS "end" """), ("k % 3 = 0", "path, true, 'Set' || k, '', 5, 7"),
-    ("k % 3 = 0", "path, true, 'Fresh' || k, '', 8, 9"), ("k % 3 = 1", "path, false, 'CREATE TYPE mood' || k || ' AS ENUM ', '', 1, 1"),
-    ("k % 3 = 1", "path, false, 'CREATE TABLE tab' || k || ' ', '', 2, 5"), ("k % 3 = 1", "path, false, 'CREATE INDEX ix ON tab' || k || ' ', '', 6, 6"),
-    ("k % 3 = 1", "path, false, 'ALTER TABLE tab' || k || ' DROP COLUMN c', '', 6, 6"), ("k % 3 = 1", "path, false, 'DROP TABLE old' || k, '', 7, 7")))
+    ("k % 3 = 0", "path, true, 'Fresh' || k, '', 8, 9"), ("k % 3 <> 0", "path, false, 'CREATE TYPE mood' || k || ' AS ENUM ', '', 1, 1"),
+    ("k % 3 <> 0", "path, false, 'CREATE TABLE tab' || k || ' ', '', 2, 5"), ("k % 3 <> 0", "path, false, 'CREATE INDEX ix ON tab' || k || ' ', '', 6, 6"),
+    ("k % 3 <> 0", "path, false, 'ALTER TABLE tab' || k || ' DROP COLUMN c', '', 6, 6"), ("k % 3 <> 0", "path, false, 'DROP TABLE old' || k, '', 7, 7")))
 def sql_units(t):
     return sqlreview.sql_units(sql_files(t)[1]).select("path", "named", "name", "doc", "start", "end")
 
@@ -478,16 +498,16 @@ def query_changes(t):
 
 
 @query("i15_schema_changes", "", unit_rows(
-    ("k % 3 = 1 AND k % 2 = 1", "path, 'enum' AS kind, 'added' AS op, 'mood' || k AS name, 'a, b' AS detail, path || ':1' AS ref"), ("k % 3 = 1", "path, 'table', 'added', 'tab' || k, '3 columns; key: id, mood', path || ':2'"),
-    ("k % 3 = 1", "path, 'index', 'added', 'ix', 'on tab' || k || ' (id)', path || ':6'"), ("k % 3 = 1", "path, 'column', 'removed', 'tab' || k || '.c', '', path || ':6'"),
-    ("k % 3 = 1", "path, 'table', 'removed', 'old' || k, '', path || ':7'")))
+    ("k % 3 <> 0 AND k % 2 = 1", "path, 'enum' AS kind, 'added' AS op, 'mood' || k AS name, 'a, b' AS detail, path || ':1' AS ref"), ("k % 3 <> 0", "path, 'table', 'added', 'tab' || k, '3 columns; key: id, mood', path || ':2'"),
+    ("k % 3 <> 0", "path, 'index', 'added', 'ix', 'on tab' || k || ' (id)', path || ':6'"), ("k % 3 <> 0", "path, 'column', 'removed', 'tab' || k || '.c', '', path || ':6'"),
+    ("k % 3 <> 0", "path, 'table', 'removed', 'old' || k, '', path || ':7'")))
 def schema_changes(t):
     b, h = (sqlreview.sql_units(f).where("NOT named") for f in sql_files(t))
     return sqlreview.schema_changes(b, h)
 
 
 @query("i16_column_facts", "", unit_rows(
-    ("k % 3 = 1", """'tab' || k AS "table", 'id' AS "column", 'bigint' AS "type", NULL AS "default" """), ("k % 3 = 1", "'tab' || k, 'mood', 'mood' || k, 'a'"), ("k % 3 = 1", "'tab' || k, 'price', 'numeric', NULL")))
+    ("k % 3 <> 0", """'tab' || k AS "table", 'id' AS "column", 'bigint' AS "type", NULL AS "default" """), ("k % 3 <> 0", "'tab' || k, 'mood', 'mood' || k, 'a'"), ("k % 3 <> 0", "'tab' || k, 'price', 'numeric', NULL")))
 def column_facts(t):
     return sqlreview.column_facts(sqlreview.sql_units(sql_files(t)[1]))
 

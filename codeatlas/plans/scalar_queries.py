@@ -217,7 +217,7 @@ def prefixes(t):
 
 @query("b22_estimate_tokens", "repo_paths", f"""
     SELECT CAST(sum(size) // 4 AS BIGINT) AS tokens FROM repo_paths WHERE regexp_matches(path, {rx(fx.SOURCE)})
-    AND NOT regexp_matches(path, {rx(fx.TESTS)}) AND size < 1000000""")
+    AND NOT regexp_matches(path, {rx(fx.TESTS)})""")
 def tokens(t):
     return estimate_tokens(t.repo_paths)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import scan
 from .registry import query
 
@@ -16,11 +18,11 @@ def sql_text(v) -> str:
     return "replace(replace('" + v.replace("'", "''") + "', '@', CAST(k AS VARCHAR)), '%', CAST(m AS VARCHAR))"
 
 
-def expected(columns: str, *rows) -> str:
+def expected(columns: str, *rows, files: str = "code_files") -> str:
     """SQL: for each file of a language (first value) the given rows."""
     names = columns.split()
     return "\nUNION ALL ".join(
-        "SELECT path, " + ", ".join(f'{sql_text(v)} AS "{n}"' for n, v in zip(names, row[1:])) + f" FROM code_files WHERE k % 4 = {row[0]}" for row in rows)
+        "SELECT path, " + ", ".join(f'{sql_text(v)} AS "{n}"' for n, v in zip(names, row[1:])) + f" FROM {files} WHERE k % 4 = {row[0]}" for row in rows)
 
 
 def reads(t):
@@ -61,6 +63,14 @@ FIELD_CHECKS = """SELECT DISTINCT b.path, 19 AS line_no, 'env:LIMIT_' || a.m AS
     ON a.k % 4 = 0 AND b.k % 4 = 0 AND a.k % 20 = b.k % 20"""
 
 
+@query("j4_wrapped_reads", "effect_files", expected(
+    "line_no name what bound default", (0, 9, "PORT_%", "var", "port", '"80"'), (1, 6, "SIZE_%", "var", "size", None), (1, 7, "RATE_%", "var", "rate", None),
+    (2, 5, "NAME_%", "var", "n", None), files="effect_files"))
+def wrapped_reads(t):
+    lines = t.effect_lines
+    return scan.bind_reads(scan.scan_env_reads(lines), lines).select("path", "line_no", "name", "what", "bound", "default")
+
+
 @query("j5_scan_checks", "code_files", expected("line_no gate text", *CHECKS) + " UNION ALL " + FIELD_CHECKS)
 def checks(t):
     return scan.scan_checks(scan.bind_reads(reads(t), t.code_lines), t.code_lines, t.code_functions, t.code_parts).select("path", "line_no", "gate", "text")
@@ -147,6 +157,29 @@ def scan_steps(t):
     return scan.scan_steps(t.code_lines, t.code_functions).selectExpr("path", "line_no", "kind", "text", "error", "cast(size(block_path) AS BIGINT) AS depth")
 
 
+@query("j10_stops_and_loops", "effect_files", expected(
+    "line_no kind error depth", (0, 2, "decision", False, 0), (0, 3, "throw", True, 1), (0, 5, "loop", False, 0), (0, 6, "call", False, 1), (0, 8, "call", False, 0),
+    (0, 9, "call", False, 0), (0, 10, "call", False, 0), (1, 2, "loop", False, 0), (1, 3, "call", False, 1), (1, 5, "call", False, 0), (1, 6, "call", False, 0), (1, 7, "call", False, 0),
+    (1, 8, "return", False, 0), (2, 2, "loop", False, 0), (2, 3, "call", False, 1), (2, 5, "call", False, 0), (2, 6, "decision", False, 0), (2, 7, "call", False, 1), (2, 9, "throw", True, 0),
+    (3, 2, "loop", False, 0), (3, 3, "call", False, 1), (3, 5, "throw", True, 0), files="effect_files"))
+def stops_and_loops(t):
+    lines = t.effect_lines
+    return scan.scan_steps(lines, scan.scan_functions(lines).withColumn("fn_id", F.col("path"))).selectExpr(
+        "path", "line_no", "kind", "error", "cast(size(block_path) AS BIGINT) AS depth")
+
+
+@query("j10_effects", "effect_files", expected(
+    "line_no kind callee target", (0, 2, "effect", "find", None), (0, 6, "effect", "save", None), (0, 8, "effect", "size", None), (0, 9, "effect", "var", "Config"), (0, 10, "call", "helper_@", None),
+    (1, 3, "effect", "send", None), (1, 5, "effect", "get", None), (1, 5, "effect", "close", None), (1, 8, "effect", "query", None), (2, 3, "effect", "Exec", None),
+    (2, 3, "call", "helper_@", None), (2, 7, "call", "helper_@", None), (3, 3, "effect", "set", None), files="effect_files"))
+def effects(t):
+    """The helpers are known functions; those whose result is only logged are no step. One line has a reference to an outside system."""
+    lines = t.effect_lines
+    known = t.part.selectExpr("concat('helper_', p_partkey) AS name")
+    refs = lines.where("endswith(path, '.rs') AND line_no = 9").selectExpr("path", "line_no AS line", "'Config' AS target")
+    return scan.scan_effects(lines, scan.scan_functions(lines).withColumn("fn_id", F.col("path")), known, refs).select("path", "line_no", "kind", "callee", "target")
+
+
 @query("j11_classify_calls", "code_files", """
     SELECT k, CASE k % 6 WHEN 0 THEN 'effect' WHEN 1 THEN 'effect' WHEN 2 THEN 'call' WHEN 3 THEN 'effect' END AS kind FROM code_files WHERE k % 6 < 4""")
 def classify_calls(t):
@@ -174,6 +207,13 @@ def call_guards(t):
     return scan.call_guards(scan.scan_call_sites(t.code_lines, t.code_functions), t.code_lines, t.code_functions).select("path", "line_no", "name", "when", "loop")
 
 
+@query("j13_connected_guards", "code_files", expected("line_no name when loop", (0, 7, "items", None, None), (0, 10, "save", None, "for item in cfg.items()"), (1, 13, "start@", "on", None)))
+def connected_guards(t):
+    """Of the calls that lead to a reviewed function, two share a guard: it says nothing about their order. Alone, a call keeps its guard."""
+    return scan.call_guards(scan.scan_call_sites(t.code_lines, t.code_functions), t.code_lines, t.code_functions, connected="name IN ('items', 'save') OR name LIKE 'start%'").select(
+        "path", "line_no", "name", "when", "loop")
+
+
 @query("j14_scan_functions", "code_files", expected(
     "name start end", (0, "load_@", 2, 13), (0, "Store_@", 14, 22), (0, "put", 15, 22), (1, "Run@", 3, 23), (2, "show@", 2, 14), (3, "J@", 1, 11)))
 def scan_functions(t):

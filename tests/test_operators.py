@@ -60,14 +60,181 @@ def test_reach_and_levels_with_cycles(spark, seed):
 
 
 @pytest.mark.parametrize("seed", [2])
-def test_walk_by_levels_equals_the_walk(spark, seed):
+def test_flow_order_equals_a_depth_first_walk(spark, seed):
     calls = [(0 if i % 2 else 1, a, b, i) for i, (a, b) in enumerate(random_calls(seed, 12, 40))]
     fns = frame(spark, [(r, i, f"f{i}", "a.py", i % 4, "function") for r in (0, 1) for i in range(12)], "repo int, fn_id long, name string, file string, start long, kind string")
     c = frame(spark, calls, "repo int, src long, dst long, pos long")
     roots = graph.flow_roots(fns, c, ["repo"])
-    rows = lambda df: sorted((r.repo, r.pos, r.fn_id, r.depth, r.via) for r in df.collect())
-    small, large = graph.flow_order(fns, c, roots, ["repo"]), graph.flow_order(fns, c, roots, ["repo"], small=0)
-    assert rows(small) == rows(large) and [x[1] for x in rows(small)] == [*range(12)] * 2
+    rank = {(r.repo, r.fn_id): r["rank"] for r in roots.collect()}
+    want = []
+    for repo in (0, 1):
+        seen = []
+
+        def visit(f, depth, via):
+            if f not in seen:
+                seen.append(f)
+                want.append((repo, len(seen) - 1, f, depth, via))
+                for _, b in sorted({(min(p for r, a, b, p in calls if (r, a, b) == (repo, f, x)), x) for r, a, x, _ in calls if (r, a) == (repo, f)}):
+                    visit(b, depth + 1, f)
+
+        for f in sorted(range(12), key=lambda i: ((repo, i) not in rank, rank.get((repo, i), 0), i % 4, i)):
+            visit(f, 0, None)
+    assert sorted((r.repo, r.pos, r.fn_id, r.depth, r.via) for r in graph.flow_order(fns, c, roots, ["repo"]).collect()) == sorted(want)
+
+
+def rounds_of(monkeypatch, name, run):
+    """How many tables ``run`` writes under a label: the rounds of a loop."""
+    count, whole = [0], graph.cut
+
+    def counted(df, label="cut"):
+        count[0] += label == name
+        return whole(df, label)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    out = run()
+    monkeypatch.setattr(graph, "cut", whole)
+    return out, count[0]
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_levels_of_graphs_with_circles(spark, seed):
+    r = random.Random(seed)
+    n = 24
+    calls = {(0, *c) for c in random_calls(seed, n, r.choice([20, 40, 90]))} | {(1, i, (i + 1) % 9) for i in range(9)} | {(1, 3, 20), (1, 20, 21), (1, 22, 4)}
+    got = {(x.part, x.node): x.level for x in graph.dag_levels(frame(spark, sorted(calls), "part int, src long, dst long"), ["part"]).collect()}
+    for part in (0, 1):
+        own = [(a, b) for p, a, b in calls if p == part]
+        kept = [(a, b) for a, b in own if a not in reach_of(own, b)]
+        level = {}
+        for _ in range(n + 1):
+            for x in {y for c in own for y in c}:
+                level[x] = max((level.get(a, 0) + 1 for a, b in kept if b == x), default=0)
+        assert {x: v for (p, x), v in got.items() if p == part} == level
+
+
+def test_components_of_a_dense_core(spark):
+    """Three complete graphs of four, each with ways to the next: no node has one edge on a side."""
+    own = [(g * 4 + i, g * 4 + j) for g in range(3) for i in range(4) for j in range(4) if i != j] + [(g * 4 + i, g * 4 + 4 + i) for g in range(2) for i in range(4)]
+    e = frame(spark, own, "src long, dst long")
+    rounds, core, _ = graph.eliminate(e, graph.nodes_of(e))
+    assert not rounds and core.count() == len(own)
+    assert {(r.node, r.component) for r in graph.dense_components(core).collect()} == {(x, x // 4 * 4) for x in range(12)}
+    assert {(r.node, r.level) for r in graph.dag_levels(e).collect()} == {(x, x // 4) for x in range(12)}
+
+
+def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch):
+    e = spark.range(3000).selectExpr("(id * 7919) % 3001 AS src", "((id + 1) * 7919) % 3001 AS dst")   # numbers in no order
+    levels, rounds = rounds_of(monkeypatch, "gone", lambda: graph.dag_levels(e))
+    assert rounds <= 30
+    assert levels.join(spark.range(3001).selectExpr("(id * 7919) % 3001 AS node", "id"), "node").where("level = id").count() == 3001
+
+
+def commits_of(spark, seed, n):
+    """A history with branches and merges: (sha, parent)."""
+    r = random.Random(seed)
+    rows = [(0, None)]
+    for i in range(1, n):
+        rows += [(i, p) for p in {max(0, i - r.choice([1, 1, 1, 2, 5])) for _ in range(r.choice([1, 1, 2]))}]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_merge_base_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = commits_of(spark, seed, 60)
+    parents = {}
+    for a, b in rows:
+        if b is not None:
+            parents.setdefault(a, set()).add(b)
+    up = {i: reach_of([(a, b) for a, bs in parents.items() for b in bs], i) for i in range(60)}
+    pairs = {(r.randrange(60), r.randrange(60)) for _ in range(25)} | {(7, 7), (3, 999)}   # a commit with itself, and one nobody knows
+    commits, asked = frame(spark, rows, "sha long, parent long"), frame(spark, sorted(pairs), "a long, b long")
+    up[999] = {999}
+    want = {}
+    for a, b in pairs:
+        both = up[a] & up[b]
+        lowest = [x for x in both if not any(x in up[y] and x != y for y in both)]
+        if lowest:
+            want[a, b] = min(lowest)
+    assert {(x.a, x.b): x.base for x in graph.merge_base(commits, asked).collect()} == want
+    assert {(x.a, x.b): (x.ahead, x.behind) for x in graph.ahead_behind(commits, asked).collect()} == {(a, b): (len(up[a] - up[b]), len(up[b] - up[a])) for a, b in pairs}
+
+
+def test_merge_base_of_a_long_history_takes_few_rounds(spark, monkeypatch):
+    """5,000 commits in a line with a side branch every hundred, merged forty commits later."""
+    main = spark.range(1, 5000).selectExpr("id AS sha", "id - 1 AS parent")
+    side = spark.range(50).selectExpr("explode(array(struct(10000 + id AS sha, id * 100 AS parent), struct(id * 100 + 40 AS sha, 10000 + id AS parent))) AS c").select("c.*")
+    asked = frame(spark, [(4999, 10049), (10049, 10010), (2500, 4000)], "a long, b long")
+    found, lines = rounds_of(monkeypatch, "lines", lambda: graph.merge_base(main.union(side), asked))
+    assert {(r.a, r.b): r.base for r in found.collect()} == {(4999, 10049): 10049, (10049, 10010): 10010, (2500, 4000): 2500}
+    found, reached = rounds_of(monkeypatch, "line-reach", lambda: graph.merge_base(main.union(side), asked))
+    assert (lines - 2) / 2 + reached / 2 <= 18   # two tables a round of doubling and a round of reach
+    only, lines = rounds_of(monkeypatch, "lines", lambda: graph.merge_base(main, frame(spark, [(4999, 17)], "a long, b long")))
+    assert only.first().base == 17 and (lines - 2) / 2 <= 13
+
+
+def brute_nest(cand):
+    """Flows choose in order; a choice that closes a circle with earlier ones is skipped."""
+    under = {}
+    for flow in sorted({f for f, *_ in cand}):
+        for _, k, i in sorted((r, k, i) for f, r, k, i in cand if f == flow):
+            at = k
+            while at in under and at != flow:
+                at = under[at][0]
+            if at != flow:
+                under[flow] = (k, i)
+                break
+    return {(f, *u) for f, u in under.items()}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_nest_flows_equals_choosing_in_order(spark, seed):
+    r = random.Random(seed)
+    parts, flows, names, cand = range(4), [], [], []
+    for p in parts:
+        n = r.choice([6, 9, 14])
+        calls = {(f, i, f"fn{r.randrange(n)}") for f in range(n) for i in range(3)}
+        names += [(p, f, i, c) for f, i, c in calls]
+        for f in range(n):
+            words, actor = sorted({f"fn{r.randrange(n)}" for _ in range(2)}), f"fn{r.randrange(n)}"
+            flows.append((p, f, f"Title {f}", " ".join(words), actor))
+            best = {}
+            for rule, wanted in ((0, words), (1, [actor])):
+                for k, i, c in calls:
+                    if c in wanted and k != f:
+                        best[k] = min(best.get(k, (9,)), (rule, k, i))
+            cand += [(p, f, *o) for o in best.values()]
+    got = graph.nest_flows(frame(spark, flows, "part int, flow int, title string, trigger string, first_actor string"),
+                           frame(spark, [x[:3] for x in names], "part int, flow int, pos int"), frame(spark, names, "part int, flow int, pos int, name string"),
+                           frame(spark, [], "part int, flow int, driver string"), "^nobody$", "fails").collect()
+    for p in parts:
+        assert {(x.flow, x.under_flow, x.under_step) for x in got if x.part == p} == brute_nest([c[1:] for c in cand if c[0] == p])
+
+
+def test_two_flows_without_a_circle(spark):
+    """One pointer is no circle, however few there are."""
+    flows = frame(spark, [(0, 0, "T", "x", "x"), (0, 1, "T", "go", "x")], "part int, flow int, title string, trigger string, first_actor string")
+    names = frame(spark, [(0, 0, 0, "go")], "part int, flow int, pos int, name string")
+    none = frame(spark, [], "part int, flow int, driver string")
+    assert [(x.flow, x.under_flow) for x in graph.nest_flows(flows, names, names, none, "^x$", "fails").collect()] == [(1, 0)]
+
+
+def test_nested_flows_of_a_long_chain_choose_at_once(spark, monkeypatch):
+    """Each of 40 flows details a step of the next, the last one of the first: one choice is skipped."""
+    n = 40
+    flows = frame(spark, [(0, f, "T", f"fn{f}", "x") for f in range(n)], "part int, flow int, title string, trigger string, first_actor string")
+    names = frame(spark, [(0, f, 0, f"fn{(f - 1) % n}") for f in range(n)], "part int, flow int, pos int, name string")
+    none = frame(spark, [], "part int, flow int, driver string")
+    got, rounds = rounds_of(monkeypatch, "pick", lambda: graph.nest_flows(flows, names, names, none, "^x$", "fails").collect())
+    assert {(x.flow, x.under_flow) for x in got} == {(f, f + 1) for f in range(n - 1)} and rounds == 2
+
+
+def test_trunks_of_long_chains_take_few_rounds(spark, monkeypatch):
+    e = spark.range(400).selectExpr("0 AS part", "id AS src", "id + 1 AS dst")
+    weight = spark.range(401).selectExpr("0 AS part", "id AS node", "401 - id AS reach")
+    entries = frame(spark, [(0, "L0", 0), (0, "L1", 390)], "part int, line_id string, node long")
+    (trunk, _), rounds = rounds_of(monkeypatch, "trunk", lambda: graph.routes(e, entries, weight))
+    assert rounds <= 13 and {(r.line_id, r.pos, r.node) for r in trunk.collect()} == {("L0", i, i) for i in range(401)} | {("L1", i, 390 + i) for i in range(11)}
 
 
 def brute_routes(calls, entry):
@@ -116,6 +283,43 @@ def test_batches_equal_greedy(spark):
                 assert got[g, i] == b
 
 
+def test_aligned_steps_equal_a_search_in_order(spark):
+    """Random edits of steps; which texts are versions of each other is asked of Spark pair by pair, the rest is a plain search."""
+    import difflib
+    from codeatlas.functions import scalars as S
+    r = random.Random(4)
+    texts = ["if a < b", "if a >= b", "if !(a < b)", "x = f(1)", "x = f(2)", "x = f(y, z)", "return g(a) + 1", "return h", "call(a, b, c, d)", "call(a, b, c, e)", "zz"]
+    step = lambda: (r.choice(["decision", "call"]), r.choice(texts), r.choice(["f", "g", None]))
+    base, head = [], []
+    for fn in range(40):
+        old = [step() for _ in range(r.randint(0, 9))]
+        new = [step() if r.random() < 0.4 else x for x in old if r.random() < 0.8] + [step() for _ in range(r.randint(0, 2))]
+        base += [(fn, 10 + 2 * i, *x) for i, x in enumerate(old)]
+        head += [(fn, 5 + 3 * i, *x) for i, x in enumerate(new)]
+    schema = "fn_id int, pos int, kind string, text string, callee string"
+    alike = {(x.a, x.b) for x in frame(spark, [(a, b) for a in texts for b in texts], "a string, b string").selectExpr(
+        "a", "b", f"{S.mask_literals('a')} = {S.mask_literals('b')} OR {S.inversion('a', 'b')} IS NOT NULL AS near", f"{S.operator_tokens('a')} AS x", f"{S.operator_tokens('b')} AS y").collect()
+        if x.near or difflib.SequenceMatcher(None, list(x.x), list(x.y)).ratio() >= 0.6}
+    want = set()
+    for fn in range(40):
+        old, new = [x[1:] for x in base if x[0] == fn], [x[1:] for x in head if x[0] == fn]
+        matched = []
+        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [x[1:3] for x in old], [x[1:3] for x in new], autojunk=False).get_opcodes():
+            if op == "equal":
+                matched += zip(range(i1, i2), range(j1, j2))
+            else:
+                free = j1
+                for i in range(i1, i2):
+                    hits = [j for j in range(free, j2) if old[i][1] == new[j][1] and old[i][3] == new[j][3] and (old[i][2], new[j][2]) in alike]
+                    if hits:
+                        matched.append((i, hits[0]))
+                        free = hits[0] + 1
+        want |= {(fn, old[i][0], new[j][0]) for i, j in matched}
+        want |= {(fn, x[0], None) for i, x in enumerate(old) if i not in {i for i, _ in matched}} | {(fn, None, x[0]) for j, x in enumerate(new) if j not in {j for _, j in matched}}
+    got = [tuple(x) for x in change.align_steps(frame(spark, base, schema), frame(spark, head, schema)).collect()]
+    assert set(got) == want and len(got) == len(want) and sum(None not in w for w in want) > 60
+
+
 def test_diff_rebuilds_both_files(spark):
     a, b = "x\ny\nz\nw\n", "x\nq\nz\nw\nv"
     base = frame(spark, [("f", a), ("gone", "1\n2"), ("same", "k\n")], "path string, content string")
