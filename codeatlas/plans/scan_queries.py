@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scan
+from ..operators.ordered import ordered_text
+from ..operators.review import review
 from .registry import query
 
 
@@ -223,3 +225,25 @@ def scan_functions(t):
 @query("j15_scan_docs", "code_files", expected("start doc", (0, 2, "Load things for @. Returns cfg."), (1, 3, "Starts job @.")))
 def scan_docs(t):
     return scan.scan_docs(t.code_functions, t.code_lines)
+
+
+@query("review_job", "code_files", """
+    WITH c AS (SELECT *, split_part(path, '/', 1) AS part FROM code_files)
+    SELECT 'file' AS section, path AS id, 'modified' AS a, part AS b FROM c WHERE k % 4 = 0 UNION ALL SELECT 'file', path, 'deleted', part FROM c WHERE k % 8 = 1
+    UNION ALL SELECT 'function', path || '::load_' || k, 'modified', 'high' FROM c WHERE k % 4 = 0 UNION ALL SELECT 'function', path || '::Run' || k, 'removed', 'high' FROM c WHERE k % 8 = 1
+    UNION ALL SELECT 'change', path || '::load_' || k, 'Condition inverted: == → !=', 'high' FROM c WHERE k % 4 = 0
+    UNION ALL SELECT 'change', path || '::Run' || k, 'Gate removed: ' || g || m, 'high' FROM c, (VALUES ('env:ADDR_'), ('flag:go-flag-')) v(g) WHERE k % 8 = 1
+    UNION ALL SELECT 'gate', g || m, 'removed', CAST(count(*) AS VARCHAR) FROM c, (VALUES ('env:ADDR_'), ('flag:go-flag-')) v(g) WHERE k % 8 = 1 GROUP BY g, m
+    UNION ALL SELECT 'part', part, 'high', CAST(count(*) AS VARCHAR) FROM c WHERE k % 4 = 0 OR k % 8 = 1 GROUP BY part""")
+def review_job(t):
+    """In every Python file one condition is inverted, every other Go file is deleted; the rest stays."""
+    side = lambda text: t.code_lines.groupBy("path", "k").agg(ordered_text(F.expr(text), ["line_no"], "\n").alias("content"))
+    base, head = side("text"), side("replace(text, 'mode == \"slow\"', 'mode != \"slow\"')").where("k % 8 <> 1")
+    with_sha = lambda df: df.selectExpr("path", "sha1(content) AS sha", "content")
+    s = review(with_sha(base), with_sha(head), t.code_parts)
+    rows = lambda name, section, *e: s[name].selectExpr(f"'{section}' AS section", *e)
+    out = rows("files", "file", "path AS id", "status AS a", "part AS b")
+    for more in (rows("functions", "function", "fn_id AS id", "status AS a", "risk AS b"), rows("changes", "change", "fn_id AS id", "why AS a", "severity AS b"),
+                 rows("gates", "gate", "gate AS id", "op AS a", "cast(refs AS STRING) AS b"), rows("parts", "part", "part AS id", "risk AS a", "cast(functions AS STRING) AS b")):
+        out = out.unionByName(more)
+    return out

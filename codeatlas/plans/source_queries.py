@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.change import fingerprint
+from ..operators.mapping import build_map
 from ..operators.rollup import cluster_members, folder_clusters
 from ..session import checkpoint_folder
 from ..sources import exports, files, records, sinks
@@ -219,3 +220,26 @@ def read_texts(t):
     UNION ALL SELECT owner, ref, fn FROM part_steps WHERE ref <> ''""")
 def refs_of(t):
     return records.refs_of(t.part_records)
+
+
+@query("map_job", "", """
+    WITH p AS (SELECT p_partkey AS k, * FROM part)
+    SELECT 'part' AS section, 'p' || k AS id, 'x 2' AS value FROM p
+    UNION ALL SELECT 'rejected', CASE WHEN n = 0 THEN 'p' || (k - 1) END, CASE WHEN n = 0 THEN 'again' ELSE 'no/id' END FROM p, (VALUES (0), (1)) v(n)
+      WHERE CASE WHEN n = 0 THEN k % 3 = 0 AND k > 0 ELSE k % 4 = 0 END
+    UNION ALL SELECT 'cluster', 'x', CAST(count(*) AS VARCHAR) FROM p
+    UNION ALL SELECT DISTINCT 'external', p_brand, '' FROM p
+    UNION ALL SELECT 'link', 'p' || k, p_brand || ' calls' FROM p
+    UNION ALL SELECT 'change', 'p' || k, '1' FROM p WHERE k % 5 = 0""")
+def map_job(t):
+    """Every part has a file of two lines with code; every fifth file changed."""
+    files = t.part.selectExpr("concat('x/', p_partkey, '/main.py') AS path", "concat('def run():\n\n    return \"', p_name, '\"\n') AS content")
+    changed = t.part.where("p_partkey % 5 = 0").selectExpr("concat('x/', p_partkey, '/main.py') AS path")
+    m = build_map(part_replies(t), files, changed=changed)
+    rows = lambda name, section, *e: m[name].selectExpr(f"'{section}' AS section", *e)
+    out = rows("parts", "part", "id", "concat(cluster, ' ', size) AS value")
+    for more in (rows("rejected", "rejected", "nullif(id, '') AS id", "path AS value"), rows("clusters", "cluster", "id", "cast(members AS STRING) AS value"),
+                 rows("externals", "external", "id", "'' AS value"), rows("links", "link", "src AS id", "concat(dst, ' ', how) AS value"),
+                 rows("changes", "change", "part AS id", "cast(changes AS STRING) AS value")):
+        out = out.unionByName(more)
+    return out
