@@ -158,12 +158,12 @@ def estimate_tokens(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def overview_key(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, key): changes only when a part's id, kind, targets or topics change. Each part is hashed in its own
-    row; the repository key is an order-free sum of those hashes, so no repository is gathered."""
-    one = ("xxhash64(to_json(struct(id, kind, array_sort(array_distinct(transform(uses, u -> u.target))) AS t, "
+    row; the repository key is taken over order-free sums of 120 bits of those hashes, so no repository is gathered."""
+    one = ("sha1(to_json(struct(id, kind, array_sort(array_distinct(transform(uses, u -> u.target))) AS t, "
            "array_sort(publishes) AS p, array_sort(subscribes) AS s)))")
-    h = parts.select(*by, F.expr(f"cast({one} AS DECIMAL(38, 0))").alias("h"), F.lit(1).alias("n"))
-    return h.groupBy(*by).agg(F.expr("left(sha1(concat_ws(':', cast(sum(h) AS STRING), cast(bit_xor(cast(h AS BIGINT)) "
-                                     "AS STRING), cast(count(n) AS STRING))), 20)").alias("key"))
+    half = lambda at: F.expr(f"cast(conv(substring(h, {at}, 15), 16, 10) AS DECIMAL(20, 0))")
+    sums = parts.select(*by, F.expr(one).alias("h")).groupBy(*by).agg(F.count("*").alias("n"), F.sum(half(1)).alias("a"), F.sum(half(16)).alias("b"))
+    return sums.selectExpr(*by, "left(sha1(concat_ws(':', cast(n AS STRING), cast(a AS STRING), cast(b AS STRING))), 20) AS key")
 
 
 def refresh_cost(plan: DataFrame, tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -209,6 +209,11 @@ class Tables:
         """Four more languages or forms: outside systems, loops over closures, and ways to stop."""
         return self._code(EFFECT_PATHS, EFFECT_FORMS)
 
+    @cached_property
+    def long_lines(self) -> DataFrame:
+        """Statements, strings and comments over several lines."""
+        return self._code(LONG_PATHS, LONG_FORMS)
+
     @cached_property
     def code_functions(self) -> DataFrame:
         from ..operators.scan import scan_functions
@@ -382,6 +387,45 @@ EFFECT_FORMS = (
 )
 
 
+LONG_PATHS = ("svc#/s@.py", "web#/t@.ts", "go#/u@.go", "lib#/V@.java")
+LONG_FORMS = (
+    ("def send_@(x):",
+     "    if (x.a  # why (not",
+     "            and x.b):",
+     "        return client.send(",
+     '            "a ) b",',
+     "            [1, %])",
+     '    text = """if y: (',
+     '    more"""',
+     "    return text"),
+    ("export function go@(xs) {",
+     "  const q = `select (",
+     "    1 from t%`",
+     "  xs.map((x) => {",
+     "    db.save(",
+     "      x)",
+     "  })",
+     "  /* if (",
+     "  */ return q",
+     "}"),
+    ("func Up@(c Conn) error {",
+     "\tif err := c.Exec(",
+     '\t\t"q%", 1,',
+     "\t); err != nil {",
+     "\t\treturn err",
+     "\t}",
+     "\treturn nil",
+     "}"),
+    ("class V@ {",
+     "  void run(int a,",
+     "           int b) {",
+     "    call(a, // first (",
+     "        b);",
+     "  }",
+     "}"),
+)
+
+
 def _names(values) -> str:
     return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -455,6 +499,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM lineitem GROUP BY ALL"""),
     "code_files": ("", f"""SELECT p_partkey AS k, p_partkey % 97 AS m, replace(replace([{", ".join(f"'{v}'" for v in CODE_PATHS)}][p_partkey % 4 + 1],
         '@', CAST(p_partkey AS VARCHAR)), '#', CAST(p_partkey % 20 AS VARCHAR)) AS path FROM part"""),
+    "long_files": ("", f"""SELECT p_partkey AS k, p_partkey % 97 AS m, replace(replace([{", ".join(f"'{v}'" for v in LONG_PATHS)}][p_partkey % 4 + 1],
+        '@', CAST(p_partkey AS VARCHAR)), '#', CAST(p_partkey % 20 AS VARCHAR)) AS path FROM part"""),
     "effect_files": ("", f"""SELECT p_partkey AS k, p_partkey % 97 AS m, replace(replace([{", ".join(f"'{v}'" for v in EFFECT_PATHS)}][p_partkey % 4 + 1],
         '@', CAST(p_partkey AS VARCHAR)), '#', CAST(p_partkey % 20 AS VARCHAR)) AS path FROM part"""),
     "calls": ("", "SELECT DISTINCT l_partkey AS src, l_partkey // 2 + l_suppkey % 5 AS dst FROM lineitem"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scan
 from ..operators.ordered import ordered_text
 from ..operators.review import review
+from ..operators.statements import statements
 from .registry import query
 
 
@@ -159,6 +160,16 @@ def scan_steps(t):
     return scan.scan_steps(t.code_lines, t.code_functions).selectExpr("path", "line_no", "kind", "text", "error", "cast(size(block_path) AS BIGINT) AS depth")
 
 
+@query("j10_statements", "long_files", expected(
+    "line_no last_line text", (0, 1, 1, "def send_@(x):"), (0, 2, 3, "    if (x.a  # why (not and x.b):"), (0, 4, 6, '        return client.send( "a ) b", [1, %])'),
+    (0, 7, 8, '    text = """if y: ( more"""'), (0, 9, 9, "    return text"), (1, 1, 1, "export function go@(xs) {"), (1, 2, 3, "  const q = `select ( 1 from t%`"),
+    (1, 4, 4, "  xs.map((x) => {"), (1, 5, 6, "    db.save( x)"), (1, 7, 7, "  })"), (1, 8, 9, "  /* if ( */ return q"), (1, 10, 10, "}"),
+    (2, 1, 1, "func Up@(c Conn) error {"), (2, 2, 4, '\tif err := c.Exec( "q%", 1, ); err != nil {'), (2, 5, 5, "\t\treturn err"), (2, 6, 6, "\t}"), (2, 7, 7, "\treturn nil"), (2, 8, 8, "}"),
+    (3, 1, 1, "class V@ {"), (3, 2, 3, "  void run(int a, int b) {"), (3, 4, 5, "    call(a, // first ( b);"), (3, 6, 6, "  }"), (3, 7, 7, "}"), files="long_files"))
+def joined_statements(t):
+    return statements(t.long_lines).select("path", "line_no", "last_line", "text")
+
+
 @query("j10_stops_and_loops", "effect_files", expected(
     "line_no kind error depth", (0, 2, "decision", False, 0), (0, 3, "throw", True, 1), (0, 5, "loop", False, 0), (0, 6, "call", False, 1), (0, 8, "call", False, 0),
     (0, 9, "call", False, 0), (0, 10, "call", False, 0), (1, 2, "loop", False, 0), (1, 3, "call", False, 1), (1, 5, "call", False, 0), (1, 6, "call", False, 0), (1, 7, "call", False, 0),

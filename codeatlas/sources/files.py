@@ -89,7 +89,7 @@ def explode_lines(files: DataFrame, content: str = "content", keep: Sequence[str
 def count_lines(files: DataFrame, content: str = "content") -> DataFrame:
     """Per file: non-blank lines, and physical lines (an unterminated last line counts); 0 for binary files."""
     body = F.col(content).cast("string")
-    flagged = files.select("path", body.alias("_c"), is_binary(F.col(content), 4096).alias("_bin"))
+    flagged = files.select("path", body.alias("_c"), is_binary(F.col(content)).alias("_bin"))
     return flagged.selectExpr(
         "path",
         "cast(CASE WHEN _bin THEN 0 ELSE size(filter(" + split_lines("_c") + r", l -> l rlike '\\S')) END AS BIGINT) "

@@ -40,6 +40,48 @@ def test_carry_forward_equals_one_window(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_ranks_by_ranges_equal_one_window(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["hot", "hot", "hot", "x", None]), r.choice([None, *range(40)]), i) for i in range(3000)]
+    df = frame(spark, rows, "k string, v int, i int")
+    for keys in (["k"], []):
+        w = Window.partitionBy(*keys or [F.lit(1)]).orderBy(F.col("v").desc(), "i")
+        want = df.where("k IS NOT NULL").withColumn("rank", F.row_number().over(w))
+        got = ordered.ranked(df.where("k IS NOT NULL"), keys, [F.col("v").desc(), "i"])
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_a_whole_table_is_ranked_by_many_tasks(spark):
+    n = 2_000_000
+    got = ordered.ranked(spark.range(n).selectExpr("(id * 7919) % 2000003 AS v"), [], ["v"])
+    per_range = got.groupBy(F.expr("rank div 1000 AS thousand")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    checked = per_range.orderBy("thousand").collect()
+    assert all(a.hi < b.lo for a, b in zip(checked, checked[1:])) and sum(c.n for c in checked) == n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and got.rdd.getNumPartitions() > 1
+    windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
+    assert windows and all("_range" in line for line in windows)   # no window without a range
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """One key holds nine tenths of both sides: every meeting comes once, and no task gets far more of them than the others."""
+    left = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 'hot' ELSE concat('k', id) END AS k", "id AS a").union(spark.sql("SELECT NULL, -1L"))
+    right = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 'hot' ELSE concat('k', id) END AS k", "id AS b").union(spark.sql("SELECT NULL, -1L"))
+    want = {(x.k, x.a, x.b) for x in left.join(right, "k").collect()}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = ordered.spread_join(left, right, ["k"], pairs=1 << 12)
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(rows) == len(want) and {(x.k, x.a, x.b) for x in rows} == want
+    sizes = sorted(sum(x.task == t for x in rows) for t in range(8))
+    assert sizes[-1] <= 4 * sizes[4]
+
+
 def test_number_copies_is_the_rank(spark):
     df = frame(spark, [("hot", f"p{i:03d}" * 20) for i in range(50)] + [("x", "a")], "sha string, path string")
     got = {(r.sha, r.path): r.k for r in sets.number_copies(df, ["sha"], "path").collect()}
