@@ -50,7 +50,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 class Pieces:
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
         data = open(path, "rb").read()
         pieces, trainer, normal = [], {}, {}
         for number, value in fields(data):
@@ -84,7 +84,7 @@ class Pieces:
         self.tool.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
         if self.bpe and not any(MARK in p.lstrip(MARK) for p in self.names):   # no piece goes on past a marker: words can be cut there
             self.tool.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-        self.tool.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix else [])])
+        self.pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
 
     def _run(self, n: int) -> list[int]:
         """Ids of n neighbouring markers: the pair of highest score joins first, the leftmost of equal ones."""
@@ -128,8 +128,13 @@ class Pieces:
         found = [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
         return [self._joined(x) for x in found] if self.bpe and self.runs and self.mark is not None else found
 
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """The bytes that ids stand for, looked up piece by piece; the space that the normaliser put in front is taken off."""
+        text = b"".join(map(self.pieces.__getitem__, ids))
+        return text[1:] if self.prefix and text[:1] == b" " else text
+
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tool.decode_batch(ids, skip_special_tokens=False)
+        return [self.decode_bytes(x).decode("utf-8", "replace") for x in ids]
 
 
 @lru_cache(2)
@@ -152,7 +157,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)   # a block's ids are fewer than 2**31
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in arrays], pa.int64()),
-                pa.array([a == b for a, b in zip(tool.decode(ids), texts)]),
+                pa.array([tool.decode_bytes(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]),
                 pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *arrays]))],
                 ["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"])
 
