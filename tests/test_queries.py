@@ -15,7 +15,8 @@ b21_common_prefix b24_qualified_names b28_inline_diff c1_grep c4_search c10_step
 d14_pair_steps d20_handler_of e1_all_links e3_domain_streams e5_stream_label e7_merged_kinds e9_changes_per_part e14_change_chips e17_gate_rows e23_flow_slice f1_rank_entries f11_hunks
 g2_snapshot_diff g3_update_plan h1_reach h2_spurs h3_flow_order h6_levels_cyclic h9_state_levels h10_nest_flows h12_step_paths h14_code_slices i2_diff_totals i4_align_steps i5_classify_pairs
 i6_classify_one_sided i9_function_gate_changes i14_query_changes i15_schema_changes j5_scan_checks j8_infer_from j9_machine_subjects j13_call_guards k1_valid_clusters k4_valid_actions
-l1_progress l2_incremental_map l4_reviewed_state""".split()
+l1_progress l2_incremental_map l4_reviewed_state e11_part_members e13_gate_refs i9_file_gate_refs j4_wrapped_reads j10_statements j10_stops_and_loops j10_effects j13_connected_guards
+h11_merge_base h11_ahead_behind d17_branch_list map_job""".split()
 NAMES = list(QUERIES) if os.environ.get("CODEATLAS_ALL") else SOME
 
 
