@@ -7,9 +7,12 @@ offsets of a block at once and takes one id per table look-up.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from ..session import checkpoint_folder, cut
 from .common import table, text_blocks
 
 LIMIT, STEP, BLOCK_IDS = 18, 128, 1 << 16
+WORD = re.compile(r"[^ \t\n\r]+")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -65,13 +69,23 @@ class Code:
         self.ids[: widths.sum()] = np.repeat(order, widths)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """(packed bits, bit counts of each run of STEP ids)."""
+        """(packed bits, bit counts of each run of STEP ids). Codes are added into 64-bit words; one that does not fit gives its rest to the next."""
         n = self.lengths[ids]
+        if not len(n):
+            return b"", b""
         ends = np.cumsum(n)
-        back = np.repeat(ends, n) - np.arange(ends[-1] if len(ends) else 0) - 1
-        packed = np.packbits((np.repeat(self.codes[ids], n) >> back & 1).astype(np.uint8))
-        runs = np.add.reduceat(n, np.arange(0, len(n), STEP)) if len(n) else n
-        return packed.tobytes(), runs.astype("<u2").tobytes()
+        runs = np.add.reduceat(n, np.arange(0, len(n), STEP)).astype("<u2").tobytes()
+        at = ends - n
+        word, free = at >> 6, 64 - (at & 63) - n   # bits left in the word behind the code; negative: so many go on
+        codes = self.codes[ids].astype(np.uint64)
+        total = int(ends[-1])
+        out = np.zeros((total + 63 >> 6) + 1, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))   # every word has a code that begins in it, as codes are shorter than words
+        head = np.where(free >= 0, codes << np.maximum(free, 0).astype(np.uint64), codes >> np.maximum(-free, 0).astype(np.uint64))
+        out[word[first]] = np.add.reduceat(head, first)
+        over = np.flatnonzero(free < 0)
+        out[word[over] + 1] += codes[over] << (64 + free[over]).astype(np.uint64)
+        return out.astype(">u8").tobytes()[:total + 7 >> 3], runs
 
     def decode(self, packed: bytes, runs: bytes, n: int) -> np.ndarray:
         data = np.frombuffer(packed + b"\0\0\0\0", np.uint8).astype(np.int64)
@@ -89,16 +103,51 @@ class Code:
         return out.ravel()[:n]
 
 
+class WordIds:
+    """Ids of texts by a tokenizers file whose pieces never reach over a space, tab or line end: the words between these are encoded by the library,
+    each distinct one of a block once, and remembered in two generations of ``KEPT`` words, so frequent words stay and memory is bounded."""
+
+    KEPT, KEPT_CHARS = 1 << 18, 48
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tool = Tokenizer.from_file(path)
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        words = [WORD.findall(t) for t in texts]
+        kept, todo = self.kept, []
+        for w in set().union(*words).difference(kept):
+            if (ids := self.older.get(w)) is None:
+                todo.append(w)
+            else:
+                kept[w] = ids
+        for w, found in zip(todo, self.tool.encode_batch_fast(todo, add_special_tokens=False)):
+            kept[w] = array("I", found.ids).tobytes()
+        out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
+        for w in todo:
+            if len(w) > self.KEPT_CHARS:
+                del kept[w]
+        if len(kept) > self.KEPT:
+            self.older, self.kept = kept, {}
+        return out
+
+
+@lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame:
     """(doc_id, ids binary): little-endian 32-bit ids of every whole text, ``end`` appended; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-        tool = Tokenizer.from_file(tokenizer)
-        tail = [] if end is None else [end]
-        for part, texts in text_blocks(batches, most=1 << 20):
-            found = tool.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.array(e.ids + tail, "<u4").tobytes() for e in found], pa.binary())], ["doc_id", "ids"])
+        tool, tail = word_ids(tokenizer), b"" if end is None else end.to_bytes(4, "little")
+        for part, texts in text_blocks(batches):
+            found = tool.encode([t or "" for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in found], pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
