@@ -107,7 +107,7 @@ class WordIds:
     """Ids of texts by a tokenizers file whose pieces never reach over a space, tab or line end: the words between these are encoded by the library,
     each distinct one of a block once, and remembered in two generations of ``KEPT`` words, so frequent words stay and memory is bounded."""
 
-    KEPT, KEPT_CHARS = 1 << 18, 48
+    KEPT, KEPT_CHARS = 1 << 17, 48
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
