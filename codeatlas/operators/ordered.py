@@ -111,10 +111,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rank
     dealt = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys or [F.lit(1)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)   # a row a range
-    shift = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shift = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    return (dealt.withColumn("_r", F.row_number().over(inside)).join(shift, [*keys, "_range"])
-            .withColumn(out, (F.col("_r") + F.col("_shift")).cast("int")).drop("_r", "_shift", "_range").select(*df.columns, out))
+    same = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))   # null is a key like others
+    return dealt.withColumn("_r", F.row_number().over(inside)).join(shift, same).withColumn(out, (F.col("_r") + F.col("_shift")).cast("int")).select(*df.columns, out)
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int = 1 << 20) -> DataFrame:
