@@ -99,10 +99,20 @@ def steps_at(steps: DataFrame, functions: DataFrame, places: DataFrame, by: Sequ
     s = steps.withColumn("r", F.expr(S.parse_ref("ref"))).selectExpr(
         *by, "flow_id", "owner", "pos", "fn", f"{last('`from`')} AS a", f"{last('`to`')} AS b", "r.path AS s_path", "coalesce(r.line, 0) AS s_line")
     fn = places.join(enclosing(places, functions, [*by, "path"], take=("name", "start", "end"), order=("start",)), [*by, "path", "line"], "left")
-    words = fn.where("word IS NOT NULL").select(*by, "place_id", "path", "word")
-    ends = s.select("*", F.explode(F.expr("array_distinct(filter(array(fn, a, b), w -> w IS NOT NULL))")).alias("word"))
-    by_word = spread_join(words, ends, [*by, "word"]).selectExpr(
-        *by, "place_id", "flow_id", "pos", "owner", "cast(CASE WHEN s_path <=> path THEN 3 ELSE 2 END AS DOUBLE) AS score").distinct()
+    # A place wants few of the steps that name its word, so each word keeps its first k steps, and its first k in each file, and places meet only those.
+    # Elsewhere-steps of a place are the word's steps seen in any other file: at most as many of the word's first k fail that as are in the place's
+    # file, and those are taken from the file's own.
+    file = [F.coalesce("path", F.lit("")).alias("_file"), F.col("path").isNull().alias("_none")]
+    words = fn.where("word IS NOT NULL").select(*by, "place_id", "word", "path", *file)
+    ends = s.withColumnRenamed("s_path", "path").select("*", F.explode(F.expr("array_distinct(filter(array(fn, a, b), w -> w IS NOT NULL))")).alias("word"))
+    step, first = ["owner", "flow_id", "pos"], [F.expr("owner IS NULL"), "flow_id", "pos"]
+    named = ends.select(*by, "word", "path", *file, *step).distinct()
+    own = top_k(named.drop("path"), [*by, "word", "_file", "_none"], first, k).drop("rank")
+    any_file = top_k(named.groupBy(*by, "word", *step).agg(F.min(F.struct("path")).alias("_lo"), F.max(F.struct("path")).alias("_hi")),
+                     [*by, "word"], first, k).drop("rank")
+    same = spread_join(words.drop("path"), own, [*by, "word", "_file", "_none"]).withColumn("score", F.lit(3.0))
+    other = spread_join(words.drop("_file", "_none"), any_file, [*by, "word"]).where("NOT (_lo = _hi AND _lo.path <=> path)").withColumn("score", F.lit(2.0))
+    by_word = same.select(*by, "place_id", "flow_id", "pos", "owner", "score").union(other.select(*by, "place_id", "flow_id", "pos", "owner", "score")).distinct()
     here = fn.where("word IS NULL").join(s.withColumn("path", F.col("s_path")), [*by, "path"])
     near = ("CASE WHEN start IS NOT NULL THEN CASE WHEN s_line >= start AND s_line < `end` THEN 3 - least(2D, abs(s_line - line) / 50D) "
             "WHEN a = name OR b = name THEN 1D END WHEN abs(s_line - line) <= 3 THEN 3 - least(2D, abs(s_line - line) / 50D) END")
