@@ -17,7 +17,7 @@ from .registry import query
 
 @query("a1_read_tree")
 def read_tree(t):
-    return files.read_tree(t.spark, t.folder).select("path", "size", "sha")
+    return files.read_tree(t.spark, t.folder, content=False).select("path", "size", "sha")
 
 
 @query("a1_blob_sha", "corpus", """

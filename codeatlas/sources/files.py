@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,67 @@ def below(root: str, place: str = "_metadata.file_path") -> str:
     return f"substring({plain}, instr({plain}, {S.text(start)}) + {len(start)})"
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: path relative to it, size, blob hash, content; files in ignored folders are listed but never opened."""
+def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """Files below ``root``: path relative to it, size, blob hash, content; files in ignored folders are listed but never opened.
+
+    Without ``content`` no file is held in a cell: files are read in blocks and hashed piece by piece, so they may be of any size.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return (raw.where(f"NOT {S.is_ignored(below(root))}")
-            .select(F.expr(below(root)).alias("path"), F.col("length").alias("size"), blob_sha(F.col("content")).alias("sha"), "content"))
+    listed = raw.where(f"NOT {S.is_ignored(below(root))}").withColumn("path", F.expr(below(root)))
+    if content:
+        return listed.select("path", F.col("length").alias("size"), blob_sha(F.col("content")).alias("sha"), "content")
+    # files that readers of lines would unpack are hashed whole
+    packed = f"path rlike {S.text(PACKED)}"
+    whole = listed.where(packed).select("path", F.col("length").alias("size"), blob_sha(F.col("content")).alias("sha"))
+    plain = listed.where(f"NOT {packed}").select("path", F.col("length").alias("size")).join(blob_hashes(spark, root), "path", "left")
+    # readers of lines find no row in a file that is empty or holds a byte order mark only
+    rowless = F.expr("CASE size " + " ".join(f"WHEN {n} THEN '{hashlib.sha1(b'blob %d' % n + bytes(1) + MARK[:n]).hexdigest()}'" for n in (0, len(MARK))) + " END")
+    return plain.select("path", "size", F.coalesce("sha", rowless).alias("sha")).union(whole)
+
+
+MARK = b"\xef\xbb\xbf"   # byte order mark
+PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd|bgz|passthrough)$"
+
+
+def blob_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, sha) of every file below ``root`` that is not empty or packed, as ``blob_sha`` gives it, without holding a file in a cell: its rows are
+    read in blocks by many tasks and come in order to the task that hashes it. What stands between two line feeds must fit a task."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root).where(f"NOT {S.is_ignored(below(root))}")
+    rows = raw.selectExpr(f"{below(root)} AS path", "_metadata.file_block_start AS _block", "_metadata.file_size AS _size",
+                          "monotonically_increasing_id() AS _id", "cast(value AS BINARY) AS _row").where(f"NOT path rlike {S.text(PACKED)}")
+    return rows.repartition("path").sortWithinPartitions("path", "_block", "_id").mapInArrow(_hash_rows, "path STRING, sha STRING")
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One hash a file from its rows in order. The reader drops line feeds and a byte order mark at the start; the size tells whether there
+    were a mark and a last line feed, so both beginnings are hashed."""
+    path, hashes, size, fed = None, [], 0, 0
+
+    def ended() -> pa.RecordBatch:
+        marked, feed = divmod(size - fed, len(MARK))
+        if feed > 1 or marked > 1:
+            raise ValueError(f"{path}: {fed} bytes read of {size}")
+        h = hashes[marked]
+        h.update(b"\n" * feed)
+        return pa.RecordBatch.from_pydict({"path": [path], "sha": [h.hexdigest()]})
+
+    for batch in batches:
+        for p, n, row in zip(batch.column("path").to_pylist(), batch.column("_size").to_pylist(), batch.column("_row")):
+            row = row.as_buffer()
+            if p != path:
+                if path is not None:
+                    yield ended()
+                path, size, fed = p, n, 0
+                hashes = [hashlib.sha1(b"blob %d\0" % n + start) for start in (b"", MARK)]
+            else:
+                fed += 1
+                for h in hashes:
+                    h.update(b"\n")
+            fed += len(row)
+            for h in hashes:
+                h.update(row)
+    if path is not None:
+        yield ended()
 
 
 def read_lines(spark: SparkSession, root: str, probe: int = 8000) -> DataFrame:

@@ -1,5 +1,7 @@
 """Trees and lines read from files, against Python on odd contents; ignored folders and large files."""
 
+import gzip
+import hashlib
 import os
 import random
 
@@ -101,3 +103,31 @@ def test_salvage_runs_in_the_jvm(spark):
     raw = spark.createDataFrame([(1, "{")], "k int, raw string")
     plan = records.salvage_parts(raw, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "NestedLoop" not in plan
+
+
+def test_trees_are_hashed_without_holding_files(spark, tmp_path):
+    rng = random.Random(5)
+    odd = {"empty": b"", "feed": b"\n", "feeds": b"\n\n", "mark": b"\xef\xbb\xbfa\n", "mark-only": b"\xef\xbb\xbf", "no-end": b"a\nb", "cr": b"a\r\nb\r",
+           "bytes": bytes(rng.randrange(256) for _ in range(30_000)), "packed.gz": gzip.compress(b"a\nb\n"), "node_modules/x": b"no",
+           "long": bytes(rng.choice(b"ab\n\xff\0") for _ in range(400_000))}
+    for path, data in odd.items():
+        write(tmp_path, path, data)
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "50000")   # blocks of the long file are read by several tasks
+    out = files.read_tree(small, str(tmp_path), content=False)
+    want = {p: (len(d), hashlib.sha1(b"blob %d\0" % len(d) + d).hexdigest()) for p, d in odd.items() if not p.startswith("node_modules/")}
+    del want["empty"]   # Spark's readers list no empty file, with contents or without
+    assert {r.path: (r.size, r.sha) for r in out.collect()} == want
+    assert {r.path: (r.size, r.sha) for r in files.read_tree(small, str(tmp_path)).collect()} == want
+
+
+def test_huge_files_are_hashed(spark, tmp_path):
+    line = b"x" * 1023 + b"\n"
+    with open(tmp_path / "huge", "wb") as f:
+        f.write(line * (300 << 10))   # 300 MB
+    plan = files.read_tree(spark, str(tmp_path), content=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mapinarrow" in plan.lower() and plan.count("sha1(") == 1   # only the cells of packed files
+    want = hashlib.sha1(b"blob %d\0" % (300 << 20))
+    for _ in range(300):
+        want.update(line * 1024)
+    assert [(r.size, r.sha) for r in files.read_tree(spark, str(tmp_path), content=False).collect()] == [(300 << 20, want.hexdigest())]
