@@ -40,9 +40,9 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, by: Sequence[str] =
         known.append(frontier)
 
 
-def reach_count(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, node, reach): how many nodes each node reaches, itself included."""
-    return reach(edges, by=by).groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("reach"))
+def reach_count(edges: DataFrame, by: Sequence[str] = (), seeds: DataFrame | None = None) -> DataFrame:
+    """(by, node, reach): how many nodes each node (or each of ``seeds``, column node) reaches, itself included."""
+    return reach(edges, seeds, by).groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("reach"))
 
 
 def up_down(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -153,7 +153,8 @@ def flow_roots(functions: DataFrame, calls: DataFrame, by: Sequence[str] = ()) -
     then by place. calls: (src, dst)."""
     called = calls.select(*by, F.col("dst").alias("fn_id")).distinct()
     roots = entry_class(functions).join(called, [*by, "fn_id"], "left_anti")
-    counts = reach_count(calls, by).withColumnRenamed("node", "fn_id")
+    roots = cut(roots, "roots")
+    counts = reach_count(calls, by, roots.select(*by, F.col("fn_id").alias("node"))).withColumnRenamed("node", "fn_id")
     r = roots.join(counts, [*by, "fn_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(1)))
     in_order = ranked(r, by, ["entry", "-reach", "file", "start", "fn_id"])
     return in_order.select(*by, "fn_id", "entry", "reach", "rank")
@@ -182,7 +183,8 @@ def flow_order(functions: DataFrame, calls: DataFrame, roots: DataFrame, by: Seq
         inside = (edges.join(group.select(*by, F.col("fn_id").alias("src"), F.col("top").alias("_t")), [*by, "src"])
                   .join(group.select(*by, F.col("fn_id").alias("dst"), F.col("top").alias("_u")), [*by, "dst"])
                   .where("_t <=> _u").select(*by, "src", "dst", "pos"))
-        inside = cut(inside, "inside")
+        # groups are divided further level by level, so later levels need only the edges inside this one's
+        inside = edges = cut(inside.distinct(), "inside")
         label = min_label(inside.select(*by, "src", "dst"), group.where("label IS NOT NULL").select(*by, F.col("fn_id").alias("node"), "label"), by)
         claimed = members.join(label.withColumnRenamed("node", "fn_id"), [*by, "fn_id"])
         # the owner of a label is the child that carries it; its subtree starts after the earlier ones'
