@@ -185,3 +185,25 @@ def test_ids_are_part_of_the_result(spark):
     want = {r.doc_id: tool.encode(r.text or "") for r in read.collect()}
     assert {r.doc_id: r.ids for r in c.encode(spark, read, folder).collect()} == want
     assert "ids" in p.op9(spark, folder).columns
+
+
+def test_texts_with_a_common_passage_do_not_meet_in_one_large_group(spark, monkeypatch):
+    from codeatlas.llm import jaccard_trees as j
+    passage = text("passage", 40)
+    rows = [(i, f"{passage} {text(i, 22)}") for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} {WORDS[i % 50]}") for i in range(0, 60, 4)] + [(200 + i, f"{text('copy', 70)} {WORDS[i % 50]}") for i in range(40)]
+    rows += [rows[3], (3, text("other", 30)), (7, None), (300, ""), (None, passage)]
+    compared = []
+    linked = j._linked
+    monkeypatch.setattr(j, "_linked", lambda found, *rest: compared.append(found.count()) or linked(found, *rest))
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in j.jaccard_components(docs(spark, rows), k=4, percent=85, bins=40, rows=5, block_rows=8).collect()}
+    sets = [(i, {tuple(w[s:s + 4]) for s in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set()) for i, t in rows if i is not None]
+    names = sorted({i for i, _ in sets})
+    up = dict(zip(names, names))
+    for a, x in sets:
+        for b, y in sets:
+            if x and y and 100 * len(x & y) >= 85 * len(x | y) and up[a] != up[b]:
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = {i: new if u == old else u for i, u in up.items()}
+    assert all(got[i, len(x)] == (up[i] if x else i) for i, x in sets)
+    assert sum(compared) < 2.5 * len(rows)
