@@ -30,12 +30,17 @@ _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """(weights, prior) from rows (doc_id, text, toxic): at most ``sample`` rows (lowest hash of doc_id), each class of near copies once.
+    """(weights, prior) from rows (doc_id, text, toxic): at most ``sample`` rows (lowest hash of doc_id; all rows of the last doc_id), each class of
+    near copies once. The sample is chosen without texts.
 
     A class's label for a term is the mean of its texts that hold it. Every term whose smoothed log odds exceed the prior's by ``SURE`` standard errors
     has the difference as its weight. The factors of the clause patterns are under "+target", "+negated" and "+reported". Rows with a null text or
     label teach nothing."""
-    rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL")
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    last = rows.select(place.alias("p")).orderBy("p").limit(sample).agg(F.max("p").alias("p")).first().p
+    if last is not None:
+        rows = rows.where(place <= F.struct(F.lit(last.h).alias("h"), F.lit(last.doc_id).cast("long").alias("doc_id")))
     rows = rows.groupBy(F.xxhash64("text").alias("x")).agg(F.max("toxic").alias("y"), F.first("text").alias("text")).persist()
     near = jaccard_components(rows.select(F.col("x").alias("doc_id"), "text")).select(F.col("doc_id").alias("x"), F.col("component_id").alias("c"))
     near = cut(near.join(near.groupBy("c").agg(F.count("*").alias("size")), "c"), "near")

@@ -42,6 +42,23 @@ def test_toxicity_learns_used_words_and_not_copies(spark):
     assert t.score("not a grumpf", weights, prior)[0] < t.score("a grumpf", weights, prior)[0]
 
 
+def test_toxicity_chooses_its_sample_without_texts(spark):
+    from codeatlas.llm import toxicity as t
+    rows = [(i, f"{text(i, 30)}{' grumpf' if i % 2 else ''}", i % 2) for i in range(160)] + [(None, "no id at all", 1), (500, None, 1), (501, "a", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    order = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").selectExpr("*", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").drop("h").collect()
+    seen = []
+    near = t.jaccard_components
+    t.jaccard_components = lambda found: seen.append(found) or near(found)
+    try:
+        assert t.learn(labelled, 100) == t.learn(spark.createDataFrame(order[:100], labelled.schema))
+    finally:
+        t.jaccard_components = near
+    plan = seen[0]._jdf.queryExecution().toString()
+    assert "GlobalLimit" not in plan and "TakeOrdered" not in plan
+    assert t.learn(labelled.limit(0))[0].keys() == {"+target", "+negated", "+reported"}
+
+
 def test_pseudonyms(spark):
     from codeatlas.llm import pseudonyms as p
     rows = [(11, "Card 4111 1111 1111 1111, born 1984-02-29; call +1 (017) 555-7713 at 10.0.0.255."), (12, "4111-1111-1111-1111 or 4111111111111112, 2023-02-30, 999.1.1.1, 1899-12-31, 2099-12-31"), *ODD]
