@@ -122,6 +122,51 @@ def test_fuzzy_lines(spark):
     assert d.drop_repeated_lines(docs(spark, [(None, "a\na")])).first().text == "a\na"
 
 
+def test_fuzzy_lines_between_short_and_long(spark):
+    from codeatlas.llm import line_dedup as d
+    norm = lambda s: " ".join(s.lower().split())
+    sets = lambda s: {s[i:i + 5] for i in range(max(1, len(s) - 4))}
+    lines = []
+    for k in range(60):   # 90 to 300 shingles, copies with a word changed, cut short or drawn out, beyond the basic plane too
+        words = text(f"border{k}", 16 + k // 2).split()
+        lines += [" ".join(words), " ".join(words[:-2] + ["x😀y"]), " ".join(words[:len(words) - 3]), "  ".join([*words, text(f"more{k}", 3)]), " ".join(words[::-1])]
+    lines += ["😀😀😀", "😀😀😀😀😀", "😀😀😀😀😀😀", "ab", "aaaaaa", "aaaaaaa", "x\u2028y z w", "x\u2028y\tz  w"]
+    names = [norm(x) if "\u2028" not in x else x.replace("\t", " ").replace("  ", " ") for x in lines]
+    up = list(range(len(names)))
+    for a in range(len(names)):
+        for b in range(a):
+            x, y = sets(names[a]), sets(names[b])
+            if 100 * len(x & y) >= 80 * len(x | y):
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = [new if u == old else u for u in up]
+    got = {r.doc_id for r in d.drop_repeated_lines(docs(spark, list(enumerate(lines)))).where("n_dropped = 1").collect()}
+    assert got == {a for a in range(len(names)) if up[a] != a} and 100 < len(got) < 240
+
+
+def test_fuzzy_lines_move_only_what_may_be_alike(spark, monkeypatch):
+    import glob
+    import os
+
+    from codeatlas.llm import line_dedup as d
+    letters = lambda seed: "".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz ", k=400)).strip()
+    rows = [(i, "\n".join(letters(f"{i}-{k}") for k in range(5))) for i in range(300)] + [(1000 + i, letters(f"{i}-1") + " more") for i in range(10)]
+    written = {}
+    cut = d.cut
+
+    def noted(df, label="cut"):
+        out = cut(df, label)
+        written[label] = written.get(label, 0) + sum(os.path.getsize(f) for p in out.cut_paths for f in glob.glob(f"{p.removeprefix('file:')}/*.parquet"))
+        if "norm" in out.columns:
+            written["texts"] = written.get("texts", 0) + out.count()
+        return out
+
+    monkeypatch.setattr(d, "cut", noted)
+    assert d.drop_repeated_lines(docs(spark, rows)).agg({"n_dropped": "sum"}).first()[0] == 10
+    assert written["texts"] <= 60   # of 1,510 lines, 20 are like another
+    assert sum(written.values()) < 1.2 * sum(len(t) for _, t in rows)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_benchmark_windows(spark):
     from collections import Counter
 
