@@ -164,7 +164,7 @@ def test_fuzzy_lines_move_only_what_may_be_alike(spark, monkeypatch):
     assert d.drop_repeated_lines(docs(spark, rows)).agg({"n_dropped": "sum"}).first()[0] == 10
     assert written["texts"] <= 60   # of 1,510 lines, 20 are like another
     assert sum(written.values()) < 1.2 * sum(len(t) for _, t in rows)
-    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false" and spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
 
 
 def test_benchmark_windows(spark):
